@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from twinscan.functions.normalize import norm_mode, norm_path, valid_score
 from twinscan.llm.components import connected_groups
+from twinscan.llm.neardup import expand_links, near_duplicate_groups, near_duplicates
+from twinscan.llm.spans import shared_passages, shared_ranges, shared_shares
 from twinscan.llm.topn import top_n_per_group
+from twinscan.plans.scratch import cut
 from twinscan.sources.tables import table
 
 
@@ -24,4 +27,37 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("scope").alias("mode"), "unit_id", "group_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files = table(spark, d, "project_files").select("file_id", "content")
+    return files, shared_passages(files, F.col("file_id"), F.col("content"), k=12)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    _, passages = _passages(spark, d)
+    return shared_ranges(passages).withColumnRenamed("record_id", "file_id")
+
+
+def p6_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _passages(spark, d)[1].drop("blocks")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    files, passages = _passages(spark, d)
+    return shared_shares(files, F.col("file_id"), F.col("content"), shared_ranges(passages))
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(table(spark, d, "project_files"), F.col("file_id"), F.col("content"), k=5, threshold=0.7)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    out = expand_links(*_near(spark, d))
+    return out.select(F.col("left_id").alias("left_file"), F.col("right_id").alias("right_file"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    links, members = _near(spark, d)
+    return near_duplicate_groups(cut(links, "links"), members)
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_passages": p6_passages, "p6_shares": p6_shares, "p7_found": p7_found, "p7_groups": p7_groups}
