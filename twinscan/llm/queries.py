@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from twinscan.functions.normalize import norm_mode, norm_path, valid_score
 from twinscan.llm.components import connected_groups
+from twinscan.llm.handwritten import classify, fit_classifier
 from twinscan.llm.neardup import expand_links, near_duplicate_groups, near_duplicates
 from twinscan.llm.spans import shared_passages, shared_ranges, shared_shares
+from twinscan.llm.syntax import invalid_files, invalid_rates, parse_verdicts
 from twinscan.llm.topn import top_n_per_group
 from twinscan.plans.scratch import cut
 from twinscan.sources.tables import table
@@ -60,4 +62,23 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(cut(links, "links"), members)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_passages": p6_passages, "p6_shares": p6_shares, "p7_found": p7_found, "p7_groups": p7_groups}
+def _file_columns() -> tuple:
+    return F.col("file_id"), F.col("file_path"), F.col("content")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "project_files")
+    weights, _ = fit_classifier(files, *_file_columns())
+    return classify(files, *_file_columns(), weights).where("machine").select("file_id").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_files(parse_verdicts(table(spark, d, "project_files"), *_file_columns()))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_rates(parse_verdicts(table(spark, d, "project_files"), *_file_columns()))
+
+
+_ALL = [p1_found, p2_found, p3_found, p5_found, p5_rates, p6_found, p6_passages, p6_shares, p7_found, p7_groups]
+QUERIES = {f.__name__: f for f in _ALL}
