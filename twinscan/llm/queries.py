@@ -9,6 +9,7 @@ from twinscan.functions.normalize import norm_mode, norm_path, valid_score
 from twinscan.llm.components import connected_groups
 from twinscan.llm.handwritten import classify, fit_classifier
 from twinscan.llm.neardup import expand_links, near_duplicate_groups, near_duplicates
+from twinscan.llm.prose import measure, statistics, text_types
 from twinscan.llm.spans import shared_passages, shared_ranges, shared_shares
 from twinscan.llm.syntax import invalid_files, invalid_rates, parse_verdicts
 from twinscan.llm.topn import top_n_per_group
@@ -80,5 +81,26 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return invalid_rates(parse_verdicts(table(spark, d, "project_files"), *_file_columns()))
 
 
-_ALL = [p1_found, p2_found, p3_found, p5_found, p5_rates, p6_found, p6_passages, p6_shares, p7_found, p7_groups]
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    # The word list is a fixed reference table of a few hundred rows.
+    words = [r["word"] for r in table(spark, d, "common_words").select("word").distinct().collect()]
+    return measure(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), words)
+
+
+def p10_types(spark: SparkSession, d: str) -> DataFrame:
+    typed = text_types(cut(_measured(spark, d), "cues"))
+    return typed.select("doc_id", "n_cues", "n_speech", "n_notice", "n_list", "n_table", "n_junk")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = p10_types(spark, d)
+    return typed.where((F.col("n_list") + F.col("n_table") + F.col("n_junk")) * 2 > F.col("n_cues")).select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    out = statistics(_measured(spark, d)).distinct()
+    return out.withColumns({c: F.round(c, 8) for c in ("mean_word_length", "symbol_ratio", "ended_share", "common_share")})
+
+
+_ALL = [p1_found, p2_found, p3_found, p5_found, p5_rates, p6_found, p6_passages, p6_shares, p7_found, p7_groups, p10_found, p10_types, p10_statistics]
 QUERIES = {f.__name__: f for f in _ALL}
