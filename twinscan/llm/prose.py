@@ -217,6 +217,10 @@ def learn(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray
     return post
 
 
+def _hits(codes: list[int]) -> Column:
+    return F.size(F.filter("codes", lambda c: c.isin(codes))).cast("long") if codes else F.lit(0).cast("long")
+
+
 def text_types(measured: DataFrame) -> DataFrame:
     """``measured`` with the number of cues of every type: n_speech, n_notice (sounds, adverts), n_list, n_table, n_junk.
 
@@ -227,11 +231,9 @@ def text_types(measured: DataFrame) -> DataFrame:
     if len(patterns):
         codes = patterns["code"].to_numpy()
         kind[codes] = learn(codes, patterns["count"].to_numpy(float)).argmax(axis=1)
-    of = [[int(c) for c in np.flatnonzero(kind == t) if c in set(patterns["code"].tolist())] for t in range(len(TYPES))]
     out = measured
     for t in range(1, len(TYPES)):
-        codes = F.array(*map(F.lit, of[t])) if of[t] else F.array().cast("array<int>")
-        out = out.withColumn(f"n_{TYPES[t]}", F.size(F.filter("codes", lambda c, codes=codes: F.array_contains(codes, c))).cast("long"))
+        out = out.withColumn(f"n_{TYPES[t]}", _hits(np.flatnonzero(kind == t).tolist()))
     return out.withColumn("n_speech", F.col("n_cues") - F.col("n_notice") - F.col("n_list") - F.col("n_table") - F.col("n_junk")).drop("codes")
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from twinscan.functions.normalize import norm_mode, norm_path, valid_score
 from twinscan.llm.components import connected_groups
 from twinscan.llm.handwritten import classify, fit_classifier
+from twinscan.llm.mixing import mix
 from twinscan.llm.neardup import expand_links, near_duplicate_groups, near_duplicates
+from twinscan.llm.packing import fill_report, pack
 from twinscan.llm.prose import measure, statistics, text_types
 from twinscan.llm.spans import shared_passages, shared_ranges, shared_shares
 from twinscan.llm.syntax import invalid_files, invalid_rates, parse_verdicts
@@ -81,6 +83,30 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return invalid_rates(parse_verdicts(table(spark, d, "project_files"), *_file_columns()))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    limits = [(r["limit_name"], r["capacity_tokens"]) for r in table(spark, d, "pack_limits").orderBy("limit_name").limit(1000).collect()]
+    docs = table(spark, d, "documents")
+    return pack(docs, F.col("doc_id"), F.col("text"), limits, locality=[F.lower(F.trim("series")), F.lower(F.trim("lang"))])
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    name = F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))
+    targets = table(spark, d, "mix_targets").withColumn("source", name)
+    return mix(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), name, targets)
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
 def _measured(spark: SparkSession, d: str) -> DataFrame:
     # The word list is a fixed reference table of a few hundred rows.
     words = [r["word"] for r in table(spark, d, "common_words").select("word").distinct().collect()]
@@ -102,5 +128,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 8) for c in ("mean_word_length", "symbol_ratio", "ended_share", "common_share")})
 
 
-_ALL = [p1_found, p2_found, p3_found, p5_found, p5_rates, p6_found, p6_passages, p6_shares, p7_found, p7_groups, p10_found, p10_types, p10_statistics]
+_ALL = [p1_found, p2_found, p3_found, p5_found, p5_rates, p6_found, p6_passages, p6_shares, p7_found, p7_groups, p8_packed, p8_fill, p9_selection, p9_shares, p10_found, p10_types, p10_statistics]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -38,11 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts: list[str], words_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of the texts in order, and the offset of each text's first token.
 
     A token is the longest run of letters, digits and underscores, or any other single character that
-    is not white space.
+    is not white space; with ``words_only``, a run that begins with no digit.
     """
     points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = 1 << max(16, int(len(points)).bit_length())
@@ -53,7 +53,12 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first[1:] &= ~word[:-1]
     last = word.copy()
     last[:-1] &= ~word[1:]
+    if words_only:
+        other[:] = False
     starts, ends = np.flatnonzero(first | other), np.flatnonzero(last | other) + 1
+    if words_only:
+        letter = (points[starts] < 48) | (points[starts] > 57)
+        starts, ends = starts[letter], ends[letter]
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points + np.uint32(1)).astype(np.uint64) * up[: len(points)], out=sums[1:])
     tokens = mix((sums[ends] - sums[starts]) * down[starts])
