@@ -39,6 +39,7 @@ _TOKEN = re.compile(
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/([A-Za-z]*)")
 _NUMBER = re.compile(r"(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)n?\.?\Z")
+_MEMBER_OF_NUMBER = re.compile(r"\.(?=\.?[A-Za-z_$]{2})")
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:u(?![\da-fA-F]{4}|\{[\da-fA-F]{1,6}\})|x(?![\da-fA-F]{2}))")
 _TAG = re.compile(r"<\s*([A-Za-z_$][\w$.:-]*)?")
 _TYPE_PARAMS = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b|=)")
@@ -149,7 +150,7 @@ def problem(text: str, language: str) -> str | None:
                 opener, inner = stack.pop()
                 if opener != _PAIRS[token]:
                     return "unbalanced delimiter"
-                if kind in ("op", "=", ".", "?.", "=>", "...", "@") or kind == ":" and token != "}" or kind == "word" and operand and word in ("typeof", "void", "delete", "new", "extends", "instanceof", "in", "of", "throw", "case"):
+                if kind in ("op", "=", ".", "?.", "=>", "...", "@") or kind == ":" and token != "}" or kind == "word" and operand and word in ("typeof", "delete", "new", "extends", "instanceof", "in", "throw", "case"):
                     return "operator without an operand"
                 if token == "}" and kind == ")" and closed in ("if", "while", "for", "switch", "with") or token == "}" and kind == "word" and word in ("else", "try", "do", "if", "function", "while"):
                     if not (kind == ")" and closed == "while"):
@@ -265,12 +266,12 @@ def problem(text: str, language: str) -> str | None:
         elif group == 5:
             if not operand and kind not in (">", "}", "?", ".") and "\n" not in text[last_end : m.start(5)]:
                 return "operands without an operator"
-            if not _NUMBER.match(token):
-                head = token.split(".")[0]
-                if not (_NUMBER.match(head) and ".." not in token and re.fullmatch(r"[\w$.]*", token) and len(token.split(".")) > 2):
-                    return "bad number"
+            if not _NUMBER.match(_MEMBER_OF_NUMBER.split(token, maxsplit=1)[0]):
+                return "bad number"
             operand, kind, word = False, "value", ""
         elif group == 9:
+            if text[pos : pos + 1] == "*":
+                return "unterminated comment"
             if operand:
                 r = _REGEX.match(text, m.start(9))
                 if r is None:

@@ -73,7 +73,7 @@ class Index:
 def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
     """Containers as lists of item numbers, seed first; every size is at most ``capacity``."""
     n = len(sizes)
-    by_size = np.argsort(sizes, kind="stable")
+    by_size = np.lexsort((-np.arange(n), sizes))  # of equal sizes the smallest id comes last and is taken first
     place = np.empty(n, np.int64)
     place[by_size] = np.arange(n)
     sorted_sizes = sizes[by_size]

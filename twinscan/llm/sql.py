@@ -5,6 +5,15 @@ from __future__ import annotations
 _MODE = r"nullif(lower(regexp_replace(mode, '^[ \t]+|[ \t]+$', '', 'g')), '')"
 _PATH = r"regexp_replace(replace(left_loc.file_path, '\', '/'), '^(\./)+', '')"
 
+_RUNS = """
+texts as (select distinct file_id, case when content = '' then [] when ends_with(content, chr(10)) then string_split(content, chr(10))[:-2] else string_split(content, chr(10)) end as l
+          from project_files where file_id is not null and content is not null),
+runs as (select file_id, i, array_to_string(l[i : i + 11], chr(10)) as r from (select file_id, l, unnest(range(1, len(l) - 10)) as i from texts)),
+hits as (select file_id, i from runs join (select r from runs group by 1 having count(distinct file_id) > 1) using (r)),
+marks as (select file_id, i, case when i <= lag(i) over (partition by file_id order by i) + 12 then 0 else 1 end as b from hits),
+ranges as (select file_id, min(i) as start_line, max(i) + 11 as end_line from (select file_id, i, sum(b) over (partition by file_id order by i) as g from marks) group by file_id, g)
+"""
+
 SQL = {
     "p1_found": f"""
 with rows as (select distinct {_MODE} as mode, {_PATH} as file_path, pair_id, score from unit_pairs
@@ -12,4 +21,25 @@ with rows as (select distinct {_MODE} as mode, {_PATH} as file_path, pair_id, sc
 ranked as (select mode, file_path, pair_id, row_number() over (partition by mode, file_path order by score desc, pair_id) as r
            from rows where mode is not null and file_path is not null)
 select mode, file_path, pair_id from ranked where r <= 5""",
+    "p3_found": f"""
+with recursive ends as (select distinct {_MODE} as mode, left_unit as a, right_unit as b from unit_pairs where left_unit is not null and right_unit is not null),
+edges as (select mode, a, b from ends where mode is not null union select mode, b, a from ends where mode is not null),
+reach(mode, u, v) as (select mode, a, a from edges union select r.mode, r.u, e.b from reach r join edges e on e.mode = r.mode and e.a = r.v)
+select mode, u as unit_id, min(v) as group_id from reach group by 1, 2""",
+    "p6_found": f"""
+with {_RUNS}
+select file_id, start_line, end_line from ranges""",
+    "p6_shares": f"""
+with {_RUNS},
+got as (select file_id, sum(end_line - start_line + 1) as n from ranges group by 1)
+select t.file_id as record_id, cast(len(t.l) as bigint) as n_lines, cast(coalesce(g.n, 0) as bigint) as shared_lines,
+       case when len(t.l) > 0 then coalesce(g.n, 0) / len(t.l) else 0.0 end as share
+from texts t left join got g using (file_id)""",
+    "p7_found": """
+with texts as (select distinct file_id, content from project_files where file_id is not null and content is not null),
+tokens as (select file_id, regexp_extract_all(content, '[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]') as t from texts),
+grams as (select distinct file_id, array_to_string(t[i : i + 4], chr(1)) as g from (select file_id, t, unnest(range(1, len(t) - 3)) as i from tokens)),
+sizes as (select file_id, count(*) as n from grams group by 1),
+common as (select a.file_id as l, b.file_id as r, count(*) as k from grams a join grams b on a.g = b.g and a.file_id < b.file_id group by 1, 2)
+select l as left_file, r as right_file from common join sizes x on x.file_id = l join sizes y on y.file_id = r where k / (x.n + y.n - k) >= 0.7""",
 }
