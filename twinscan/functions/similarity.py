@@ -106,16 +106,15 @@ def short_function_factor(score: Column, lines1: Column, lines2: Column) -> Colu
 
 
 def atom_cap(score: Column, control_differs: Column, missing1: Column, missing2: Column) -> Column:
-    """The score, capped where two functions use different operations.
+    """The score, capped where two functions use different operations; the first that applies.
 
     A difference in control flow caps at 0.72; operations missing on both sides cap at 0.75 less 0.03 for
     each beyond two, not below 0.55; four or more missing on one side only cap at 0.85. Scores up to 0.6 stay.
     """
     total = missing1 + missing2
     both = F.greatest(F.lit(0.55), 0.75 - 0.03 * (total - 2))
-    s = F.when(control_differs, F.least(score, F.lit(0.72))).otherwise(score)
-    s = F.when((missing1 > 0) & (missing2 > 0), F.least(s, both)).when(total >= 4, F.least(s, F.lit(0.85))).otherwise(s)
-    return F.when(score > 0.6, s).otherwise(score)
+    cap = F.when(control_differs, 0.72).when((missing1 > 0) & (missing2 > 0), both).when(total >= 4, 0.85)
+    return F.when((score > 0.6) & cap.isNotNull(), F.least(score, cap)).otherwise(score)
 
 
 def line_count(start: Column, end: Column) -> Column:
