@@ -23,11 +23,11 @@ _RESERVED = set("break case catch class const continue debugger default delete d
 
 _TOKEN = re.compile(
     r"""(\s*)(?:
-    (\#?[A-Za-z_$ª-\U0010ffff](?:[\w$‌‍])*)                                # 2 word
+    (\#?[A-Za-z_$ª-\U0010ffff](?:[\w$\u200c\u200d])*)                                # 2 word
    |('(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*")             # 3 string
    |([()\[\]{};,])                                                                        # 4 delimiter
    |(\d[\w.]*(?:(?<=[eE])[+-]\d[\w]*)?|\.\d[\w]*(?:(?<=[eE])[+-]\d+)?)                    # 5 number
-   |(//[^\n\r  ]*|/\*[\s\S]*?\*/)                                               # 6 comment
+   |(//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)                                               # 6 comment
    |(^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|\Z))                                             # 7 conflict marker
    |(=>|\.\.\.|\?\.(?!\d)|\?\?=?|[=!]==?|\*\*=?|\+\+|--|&&=?|\|\|=?|<<=?|<=|[-+*%&|^]=?|[=!~?:.<>@]) # 8 operator
    |(/)                                                                                   # 9 division or regex
@@ -73,7 +73,7 @@ def problem(text: str, language: str) -> str | None:
     """The first reason why ``text`` cannot be a program in ``language``, or None."""
     typed, tags = language in ("typescript", "tsx"), language in ("tsx", "jsx")
     pos, end = 0, len(text)
-    if text[:1] == "﻿":
+    if text[:1] == "\ufeff":
         pos = 1
     if text.startswith("#!", pos):
         pos = text.find("\n", pos) + 1 or end
