@@ -12,7 +12,7 @@ from twinscan.functions import similarity as S
 from twinscan.functions.type_text import class_type, loose_signature, overlap_of_words, placeholders, plain_similarity
 from twinscan.operators.pairs import band_pairs, scope_condition
 
-CREDIT = "l long, r long, credit double, members int"
+CREDIT = "l {id}, r {id}, credit double, members int"
 
 
 def fields(properties) -> dict[str, tuple[str, bool]]:
@@ -118,7 +118,7 @@ def similar_classes(units: DataFrame, threshold: float = 0.8, scope: str = "all"
     rows = rows.withColumn("n", F.greatest(count(F.col("properties")), F.lit(0)) + F.greatest(count(F.col("methods")), F.lit(0)))
     pairs = band_pairs(rows, "uid", "n", least / (2 - least), scope_condition(scope, F.col("l.file_path"), F.col("r.file_path")))
     slim = lambda s: F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("uid", "properties", "methods"))).alias(s)
-    credit = pairs.select(slim("l"), slim("r")).mapInPandas(_credits, CREDIT)
+    credit = pairs.select(slim("l"), slim("r")).mapInPandas(_credits, CREDIT.format(id=units.schema["uid"].dataType.simpleString()))
     info = rows.select("uid", "name", "extends_name", "implements_names")
     out = credit.join(info.toDF("l", "lname", "lext", "limp"), "l").join(info.toDF("r", "rname", "rext", "rimp"), "r")
     heritage = F.col("lext").eqNullSafe(F.col("rext")) & (F.col("limp") == F.col("rimp"))

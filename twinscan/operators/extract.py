@@ -57,12 +57,5 @@ def extract_units(files: DataFrame, path: Column | None = None, content: Column
 
 
 def with_uid(units: DataFrame) -> DataFrame:
-    """A stable id in discovery order (path, then order in the file), from a hash-free dense rank by file.
-
-    The id is the file's rank in path order times a million plus the unit's number, so it needs a sort of
-    the distinct paths only.
-    """
-    from pyspark.sql import Window
-
-    paths = units.select("file_path").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file_path")))
-    return units.join(paths, "file_path").withColumn("uid", F.col("file_no").cast("long") * 1_000_000 + F.col("seq"))
+    """A stable id, ordered by path and then by place in the file; a map, without a sort or a number line."""
+    return units.withColumn("uid", F.concat("file_path", F.lit("\0"), F.lpad(F.col("seq").cast("string"), 9, "0")))

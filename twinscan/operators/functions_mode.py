@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinscan.functions import similarity as S
 from twinscan.operators.edit_distance import BEYOND, Flat, distance
-from twinscan.operators.pairs import band_pairs, scope_condition
+from twinscan.operators.pairs import band_pairs, scope_condition, subset_pairs
 from twinscan.plans.scratch import cut
 
 INPUTS = "l string, r string, n1 int, n2 int, d double, control boolean, missing1 int, missing2 int, permuted boolean"
@@ -41,7 +41,8 @@ def _compared(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.
         for l, r in zip(batch["l"], batch["r"]):
             a, b = flat(l), flat(r)
             n1, n2 = len(a.labels), len(b.labels)
-            budget = max(n1, n2) * (1 - 0.7 * threshold) + 1e-9 if threshold > 0 else None
+            # Penalties only lower a score, so a distance that alone brings it under the threshold ends the pair.
+            budget = max(n1, n2) * (1 - threshold) + 1e-9 if threshold > 0 else None
             d = distance(a, b, budget)
             if d == BEYOND:
                 continue
@@ -66,15 +67,31 @@ def contained(l: str, r: str) -> Column:
     return (F.col(f"{l}.file_path") == F.col(f"{r}.file_path")) & (inside(l, r) | inside(r, l))
 
 
+def _candidates(trees: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (l, r) of tree classes, as structs, that may reach the threshold."""
+    if threshold <= 0.75:
+        return band_pairs(trees, "tree_hash", "n", max(0.0, threshold))
+    counted = F.flatten(F.transform(F.map_entries("counted_atoms"), lambda e: F.transform(F.sequence(F.lit(1), e["value"]), lambda i: F.concat(F.lit("#"), e["key"], F.lit("#"), i.cast("string")))))
+    sets = trees.select(F.col("tree_hash").alias("uid"), F.concat("value_atoms", counted).alias("tokens"), F.array_join(F.array_sort("control_atoms"), " ").alias("control"), "n")
+    ratio = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
+    found = subset_pairs(sets, ["control"], ratio)
+    whole = trees.select(F.struct(*trees.columns).alias("l"), F.col("tree_hash").alias("__l"))
+    other = trees.select(F.struct(*trees.columns).alias("r"), F.col("tree_hash").alias("__r"))
+    return found.toDF("__l", "__r").join(whole, "__l").join(other, "__r").select("l", "r")
+
+
 def similar_functions(units: DataFrame, threshold: float = 0.8, scope: str = "all", min_lines: int = 3, min_tokens: int | None = None, size_penalty: bool = True) -> DataFrame:
     """Pairs of functions at or above ``threshold``: l, r (uid), score, impact.
 
     ``units``: uid, file_path, start_line, end_line, has_ignore and ``fn``. Ignored and too small functions
     and those without a tree take no part; neither does a function paired with one inside it.
 
-    Functions of equal canonical tree form one class. Distances are computed once per pair of classes, from a
-    band join on tree size (a pair below the size ratio cannot reach the threshold), and spread to the members;
-    members of one class need no distance. Everything that depends on lines is a column expression.
+    Functions of equal canonical tree form one class. Distances are computed once per pair of classes and spread
+    to the members; members of one class need no distance. Everything that depends on lines is a column expression.
+
+    Candidates: a score above 0.75 is only possible with equal control flow and with all operations of one
+    function among the other's (any other difference caps it lower), so the classes join by each one's rarest
+    operation. Lower thresholds join by bands of tree size, below whose ratio no pair can reach the threshold.
     """
     n = F.size("fn.tree.labels")
     rows = units.where((F.col("unit_kind") == "function") & F.col("fn.tree").isNotNull() & ~F.coalesce("has_ignore", F.lit(False)))
@@ -84,20 +101,21 @@ def similar_functions(units: DataFrame, threshold: float = 0.8, scope: str = "al
 
     keep = ("tree", "tree_hash", "value_atoms", "control_atoms", "counted_atoms", "statements")
     trees = rows.groupBy("tree_hash").agg(F.min_by(F.struct("n", *(F.col(f"fn.{c}").alias(c) for c in keep if c != "tree_hash")), "uid").alias("x")).select("tree_hash", "x.*")
-    pairs = band_pairs(trees, "tree_hash", "n", max(0.0, min(1.0, threshold)))
+    trees = cut(trees, "trees")
+    pairs = _candidates(trees, threshold)
     known = pairs.mapInPandas(lambda it: _compared(it, threshold), INPUTS)
+    none = F.lit(0)
+    alike = trees.select(F.col("tree_hash").alias("l"), F.col("tree_hash").alias("r"), F.col("n").alias("n1"), F.col("n").alias("n2"), F.lit(0.0).alias("d"), F.lit(False).alias("control"), none.alias("missing1"), none.alias("missing2"), F.lit(False).alias("permuted"))
+    known = known.unionByName(alike).withColumn("s", S.edit_similarity(F.col("d"), F.col("n1"), F.col("n2"), size_penalty))
+    # Written, or the threshold below would be pushed into the formula and outgrow what one method can hold.
+    known = cut(known.drop("d", "n1", "n2"), "compared")
     a, b = members.select(F.struct("*").alias("a"), F.col("tree_hash").alias("l")), members.select(F.struct("*").alias("b"), F.col("tree_hash").alias("r"))
-    across = known.join(a, "l").join(b, "r").select("a", "b", "d", "control", "missing1", "missing2", "permuted")
-    same = members.select(F.struct("*").alias("a"), "tree_hash").join(members.select(F.struct("*").alias("b"), "tree_hash"), "tree_hash").where("a.uid < b.uid")
-    same = same.select("a", "b", F.lit(0.0).alias("d"), F.lit(False).alias("control"), F.lit(0).alias("missing1"), F.lit(0).alias("missing2"), F.lit(False).alias("permuted"))
-    both = across.unionByName(same)
+    both = known.join(a, "l").join(b, "r").where((F.col("l") != F.col("r")) | (F.col("a.uid") < F.col("b.uid")))
     swap = F.col("a.uid") > F.col("b.uid")
-    both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "d", "control", "missing1", "missing2", "permuted")
+    both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "s", "control", "missing1", "missing2", "permuted")
     both = both.where(scope_condition(scope, F.col("a.file_path"), F.col("b.file_path")) & ~contained("a", "b"))
     lines1, lines2 = (S.line_count(F.col(f"{s}.start_line"), F.col(f"{s}.end_line")) for s in "ab")
-    # One step a column: each formula uses its input many times, and nested they would outgrow one method.
-    both = both.withColumns({"lines1": lines1, "lines2": lines2, "n1": F.col("a.n"), "n2": F.col("b.n")}).select(F.col("a.uid").alias("l"), F.col("b.uid").alias("r"), "d", "control", "missing1", "missing2", "permuted", "lines1", "lines2", "n1", "n2")
-    out = both.withColumn("s", S.edit_similarity(F.col("d"), F.col("n1"), F.col("n2"), size_penalty))
+    out = both.select(F.col("a.uid").alias("l"), F.col("b.uid").alias("r"), "s", "control", "missing1", "missing2", "permuted", lines1.alias("lines1"), lines2.alias("lines2"))
     if size_penalty:
         out = out.withColumn("s", S.short_function_factor(F.col("s"), F.col("lines1"), F.col("lines2")))
     out = out.withColumn("s", S.atom_cap(F.col("s"), F.col("control"), F.col("missing1"), F.col("missing2")))

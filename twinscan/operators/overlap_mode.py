@@ -17,7 +17,7 @@ from twinscan.functions import similarity as S
 from twinscan.operators.pairs import scope_condition, without_contained
 from twinscan.plans.scratch import cut
 
-WINDOW = "uid long, weight int, low int, high int, start_line int, end_line int, child_hashes array<string>"
+WINDOW = "uid {id}, weight int, low int, high int, start_line int, end_line int, child_hashes array<string>"
 
 
 def weight_windows(items: list[tuple[int, int, int, str]], low: int, high: int) -> list[tuple]:
@@ -41,7 +41,7 @@ def weight_windows(items: list[tuple[int, int, int, str]], low: int, high: int)
 
 
 def _windows(batches: Iterator[pd.DataFrame], low: int, high: int) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in WINDOW.split(", ")]
+    names = ["uid", "weight", "low", "high", "start_line", "end_line", "child_hashes"]
     for batch in batches:
         rows = []
         for uid, trees in zip(batch["uid"], batch["subtrees"]):
@@ -70,7 +70,7 @@ def overlaps(units: DataFrame, threshold: float = 0.8, scope: str = "all", min_w
     many = exact.groupBy("l", "r").agg((F.count_distinct("hash") >= 3).alias("many"))
     exact = _placed(exact.join(many, ["l", "r"]), info, scope).where(_kept(F.col("many"))).drop("many", "hash")
 
-    windows = f.select("uid", "subtrees").mapInPandas(lambda it: _windows(it, min_window, max_window), WINDOW)
+    windows = f.select("uid", "subtrees").mapInPandas(lambda it: _windows(it, min_window, max_window), WINDOW.format(id=units.schema["uid"].dataType.simpleString()))
     windows = windows.withColumn("wid", F.xxhash64("uid", "start_line", "end_line", "weight", "child_hashes"))
     targets = natural.where((F.size("child_hashes") > 0) & F.col("weight").between(int(min_window * (1 - tolerance)), int(max_window * (1 + tolerance)))).withColumn("tid", F.xxhash64("uid", "start_line", "end_line", "hash"))
     w = windows.withColumn("child", F.explode(F.array_distinct("child_hashes"))).alias("w")

@@ -86,3 +86,22 @@ def without_contained(ranges: DataFrame, group: list[str], rank: str) -> DataFra
     for c in same:
         cond &= c
     return a.join(b, cond, "left_anti")
+
+
+def subset_pairs(sets: DataFrame, keys: list[str], condition: Column | None = None) -> DataFrame:
+    """Pairs (l, r) of ids, l < r, of which one's tokens all belong to the other's.
+
+    ``sets``(uid, tokens array, keys..., other columns); ``keys`` must agree. If A is within B, B holds A's rarest
+    token, so each set joins by that one token with the sets that hold it; sets without tokens join with all sets of
+    their keys. ``condition`` is a residual over a.* and b.*, for example on sizes.
+    """
+    tokens = sets.select("uid", F.explode(F.array_distinct("tokens")).alias("token"))
+    frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = tokens.join(frequency, "token").groupBy("uid").agg(F.min(F.struct("df", "token")).alias("m")).select("uid", F.col("m.token").alias("__token"))
+    everything = F.lit("\0")
+    whole = F.struct(*sets.columns)
+    small = sets.join(rarest, "uid", "left").select(whole.alias("a"), F.coalesce("__token", everything).alias("__token"), *keys)
+    large = sets.select(whole.alias("b"), F.explode(F.concat(F.array_distinct("tokens"), F.array(everything))).alias("__token"), *keys)
+    inside = F.size(F.array_except("a.tokens", "b.tokens")) == 0
+    met = small.join(large, ["__token", *keys]).where((F.col("a.uid") != F.col("b.uid")) & inside & (condition if condition is not None else F.lit(True)))
+    return met.select(F.least("a.uid", "b.uid").alias("l"), F.greatest("a.uid", "b.uid").alias("r")).distinct()

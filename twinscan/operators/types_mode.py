@@ -13,8 +13,8 @@ from twinscan.functions.type_text import normal_type, parts, property_similarity
 from twinscan.operators.pairs import overlap_pairs, scope_condition
 from twinscan.plans.scratch import cut
 
-SHAPE = "uid long, names array<string>, types array<string>, optional array<boolean>"
-MATCH = "l long, r long, matched int, quality_sum double, name_sum double"
+SHAPE = "uid {id}, names array<string>, types array<string>, optional array<boolean>"
+MATCH = "l {id}, r {id}, matched int, quality_sum double, name_sum double"
 
 
 def shape(properties: list[tuple[str, str, bool]]) -> tuple[list[str], list[str], list[bool]]:
@@ -107,8 +107,9 @@ def similar_types(units: DataFrame, threshold: float = 0.8, scope: str = "all",
     rows = units.where(~F.coalesce("has_ignore", F.lit(False)))
     if kinds != "all":
         rows = rows.where(F.col("kind") == kinds)
+    id_type = units.schema["uid"].dataType.simpleString()
     rows = rows.select("uid", "file_path", F.coalesce("name", F.lit("")).alias("name"), "kind", "properties")
-    shapes = cut(rows.select("uid", "properties").mapInPandas(_shapes, SHAPE), "shapes")
+    shapes = cut(rows.select("uid", "properties").mapInPandas(_shapes, SHAPE.format(id=id_type)), "shapes")
     info = rows.select("uid", "file_path", "name", "kind")
     least = max(0.0, (threshold - 0.15) / 0.85)
 
@@ -123,7 +124,7 @@ def similar_types(units: DataFrame, threshold: float = 0.8, scope: str = "all",
     pairs = pairs.unionByName(_bare_pairs(bare.join(info, "uid"), threshold))
 
     a, b = shapes.toDF("l", "ln", "lt", "lo"), shapes.toDF("r", "rn", "rt", "ro")
-    met = pairs.join(a, "l").join(b, "r").select("l", "r", "ln", "lt", "lo", "rn", "rt", "ro").mapInPandas(_scored, MATCH)
+    met = pairs.join(a, "l").join(b, "r").select("l", "r", "ln", "lt", "lo", "rn", "rt", "ro").mapInPandas(_scored, MATCH.format(id=id_type))
     li, ri = info.toDF("l", "lfile", "lname", "lkind"), info.toDF("r", "rfile", "rname", "rkind")
     n = shapes.select("uid", F.size("names").alias("p"))
     out = met.join(li, "l").join(ri, "r").join(n.toDF("l", "p1"), "l").join(n.toDF("r", "p2"), "r")
