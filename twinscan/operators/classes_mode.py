@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from twinscan.functions import similarity as S
 from twinscan.functions.type_text import class_type, loose_signature, overlap_of_words, placeholders, plain_similarity
-from twinscan.operators.pairs import band_pairs, scope_condition
+from twinscan.operators.pairs import band_pairs, scope_condition, spread
+from twinscan.plans.scratch import cut
 
 CREDIT = "l {id}, r {id}, credit double, members int"
 
@@ -92,13 +94,28 @@ def method_credit(a: dict, b: dict) -> float:
     return credit
 
 
-def _credits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for l, r in zip(batch["l"], batch["r"]):
-            f, g = fields(l["properties"]), fields(r["properties"])
-            m, n = methods(l["methods"]), methods(r["methods"])
-            rows.append((l["uid"], r["uid"], field_credit(f, g) + method_credit(m, n), len(f) + len(g) + len(m) + len(n)))
+        for uid, f, m in zip(batch["uid"], batch["properties"], batch["methods"]):
+            f, m = fields(f), methods(m)
+            rows.append((uid, len(f), len(m), pickle.dumps((f, m))))
+        yield pd.DataFrame(rows, columns=["uid", "n_fields", "n_methods", "packed"])
+
+
+def _credits(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows, known = [], {}
+        for l, r, a, b in zip(batch["l"], batch["r"], batch["a"], batch["b"]):
+            for uid, data in ((l, a), (r, b)):
+                if uid not in known:
+                    known[uid] = pickle.loads(data)
+            (f, m), (g, n) = known[l], known[r]
+            members = len(f) + len(g) + len(m) + len(n)
+            credit = field_credit(f, g)
+            if credit + 2 * min(len(m), len(n)) < least * members - 1e-9:
+                continue
+            rows.append((l, r, credit + method_credit(m, n), members))
         yield pd.DataFrame(rows, columns=["l", "r", "credit", "members"])
 
 
@@ -113,12 +130,18 @@ def similar_classes(units: DataFrame, threshold: float = 0.8, scope: str = "all"
     candidates come from a band join on the number of distinct member names.
     """
     least = min(1.0, max(0.0, (threshold - 0.15) / 0.85))
-    count = lambda c: F.coalesce(F.size(F.array_distinct(F.transform(c, lambda m: m["name"]))), F.lit(0))
+    id_type = units.schema["uid"].dataType.simpleString()
     rows = units.select("uid", "file_path", F.coalesce("name", F.lit("")).alias("name"), "extends_name", F.coalesce("implements_names", F.array().cast("array<string>")).alias("implements_names"), "properties", "methods")
-    rows = rows.withColumn("n", F.greatest(count(F.col("properties")), F.lit(0)) + F.greatest(count(F.col("methods")), F.lit(0)))
-    pairs = band_pairs(rows, "uid", "n", least / (2 - least), scope_condition(scope, F.col("l.file_path"), F.col("r.file_path")))
-    slim = lambda s: F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("uid", "properties", "methods"))).alias(s)
-    credit = pairs.select(slim("l"), slim("r")).mapInPandas(_credits, CREDIT.format(id=units.schema["uid"].dataType.simpleString()))
+    # Normalised and packed once a class: a pair then moves two byte strings, and a task unpacks each class once a batch.
+    packed = cut(rows.select("uid", "properties", "methods").mapInPandas(_packed, f"uid {id_type}, n_fields int, n_methods int, packed binary"), "classes")
+    sized = packed.drop("packed").join(rows.select("uid", "file_path"), "uid").withColumn("n", F.col("n_fields") + F.col("n_methods"))
+    # Fields match fields and methods methods, two of credit for each match at most.
+    enough = 2 * (F.least("l.n_fields", "r.n_fields") + F.least("l.n_methods", "r.n_methods")) >= least * (F.col("l.n") + F.col("r.n")) - 1e-9
+    pairs = band_pairs(sized, "uid", "n", least / (2 - least), scope_condition(scope, F.col("l.file_path"), F.col("r.file_path")) & enough)
+    pairs = spread(pairs.select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r")))
+    a, b = packed.select(F.col("uid").alias("l"), F.col("packed").alias("a")), packed.select(F.col("uid").alias("r"), F.col("packed").alias("b"))
+    slim = pairs.join(a, "l").join(b, "r").select("l", "r", "a", "b")
+    credit = slim.mapInPandas(lambda it: _credits(it, least), CREDIT.format(id=id_type))
     info = rows.select("uid", "name", "extends_name", "implements_names")
     out = credit.join(info.toDF("l", "lname", "lext", "limp"), "l").join(info.toDF("r", "rname", "rext", "rimp"), "r")
     heritage = F.col("lext").eqNullSafe(F.col("rext")) & (F.col("limp") == F.col("rimp"))

@@ -47,13 +47,19 @@ def _units(batches: Iterator[pd.DataFrame], literals: bool) -> Iterator[pd.DataF
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def extract_units(files: DataFrame, path: Column | None = None, content: Column | None = None, literals: bool = False) -> DataFrame:
+def extract_units(files: DataFrame, path: Column | None = None, content: Column | None = None, literals: bool = False, tasks: int | None = None) -> DataFrame:
     """Units of all files (schema ``UNITS``); a file that does not parse gives one row of kind ``error``.
 
+    Parsing costs far more than moving a text, so the files are spread evenly first, over ``tasks`` tasks (by
+    default three a core, or the session's shuffle partitions if those are more).
+
     A null path takes no part, a null content is an empty file; a path delivered twice is read once per row.
     """
     rows = files.select((path if path is not None else F.col("file_path")).alias("file_path"), (content if content is not None else F.col("content")).alias("content"))
-    return rows.where("file_path is not null").mapInPandas(lambda it: _units(it, literals), UNITS)
+    spark = files.sparkSession
+    tasks = tasks or max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.where("file_path is not null").repartition(tasks, F.xxhash64("file_path"))
+    return rows.mapInPandas(lambda it: _units(it, literals), UNITS)
 
 
 def with_uid(units: DataFrame) -> DataFrame:

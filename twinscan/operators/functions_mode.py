@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinscan.functions import similarity as S
 from twinscan.operators.edit_distance import BEYOND, Flat, distance
-from twinscan.operators.pairs import band_pairs, scope_condition, subset_pairs
+from twinscan.operators.pairs import band_pairs, scope_condition, spread, subset_pairs
 from twinscan.plans.scratch import cut
 
 INPUTS = "l string, r string, n1 int, n2 int, d double, control boolean, missing1 int, missing2 int, permuted boolean"
@@ -28,30 +29,34 @@ def permuted(a: list[tuple[str, set[str]]], b: list[tuple[str, set[str]]]) -> bo
     return any(at[i] > at[j] and a[i][1] & a[j][1] for i in range(len(at)) for j in range(i + 1, len(at)))
 
 
-def _compared(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows, flats = [], {}
+        out = []
+        for t, values, control, counted, rows in zip(batch["tree"], batch["value_atoms"], batch["control_atoms"], batch["counted_atoms"], batch["statements"]):
+            tree = (list(t["labels"]), list(t["kinds"]), [int(k) for k in t["kids"]])
+            out.append(pickle.dumps((tree, set(values), set(control), dict(counted), [(s["hash"], set(s["names"])) for s in rows])))
+        yield batch[["tree_hash", "n", "value_atoms", "control_atoms", "counted_atoms"]].assign(packed=out)
 
-        def flat(u: dict) -> Flat:
-            if u["tree_hash"] not in flats:
-                t = u["tree"]
-                flats[u["tree_hash"]] = Flat(list(t["labels"]), list(t["kinds"]), list(t["kids"]))
-            return flats[u["tree_hash"]]
 
-        for l, r in zip(batch["l"], batch["r"]):
-            a, b = flat(l), flat(r)
+def _compared(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows, known = [], {}
+        for l, r, p, q in zip(batch["l"], batch["r"], batch["a"], batch["b"]):
+            for key, data in ((l, p), (r, q)):
+                if key not in known:
+                    tree, *rest = pickle.loads(data)
+                    known[key] = (Flat(*tree), *rest)
+            a, va, ctl1, ca, s1 = known[l]
+            b, vb, ctl2, cb, s2 = known[r]
             n1, n2 = len(a.labels), len(b.labels)
             # Penalties only lower a score, so a distance that alone brings it under the threshold ends the pair.
             budget = max(n1, n2) * (1 - threshold) + 1e-9 if threshold > 0 else None
             d = distance(a, b, budget)
             if d == BEYOND:
                 continue
-            va, vb = set(l["value_atoms"]), set(r["value_atoms"])
-            ca, cb = dict(l["counted_atoms"]), dict(r["counted_atoms"])
             m1 = len(vb - va) + sum(max(0, n - ca.get(k, 0)) for k, n in cb.items())
             m2 = len(va - vb) + sum(max(0, n - cb.get(k, 0)) for k, n in ca.items())
-            order = permuted([(s["hash"], set(s["names"])) for s in l["statements"]], [(s["hash"], set(s["names"])) for s in r["statements"]])
-            rows.append((l["tree_hash"], r["tree_hash"], n1, n2, d, set(l["control_atoms"]) != set(r["control_atoms"]), m1, m2, order))
+            rows.append((l, r, n1, n2, d, ctl1 != ctl2, m1, m2, permuted(s1, s2)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in INPUTS.split(", ")])
 
 
@@ -68,16 +73,20 @@ def contained(l: str, r: str) -> Column:
 
 
 def _candidates(trees: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (l, r) of tree classes, as structs, that may reach the threshold."""
+    """Pairs of tree classes that may reach the threshold: l, r (tree_hash), a, b (packed)."""
     if threshold <= 0.75:
-        return band_pairs(trees, "tree_hash", "n", max(0.0, threshold))
+        near = band_pairs(trees.select("tree_hash", "n"), "tree_hash", "n", max(0.0, threshold))
+        return _with_trees(near.select(F.col("l.tree_hash").alias("l"), F.col("r.tree_hash").alias("r")), trees)
     counted = F.flatten(F.transform(F.map_entries("counted_atoms"), lambda e: F.transform(F.sequence(F.lit(1), e["value"]), lambda i: F.concat(F.lit("#"), e["key"], F.lit("#"), i.cast("string")))))
     sets = trees.select(F.col("tree_hash").alias("uid"), F.concat("value_atoms", counted).alias("tokens"), F.array_join(F.array_sort("control_atoms"), " ").alias("control"), "n")
     ratio = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
     found = subset_pairs(sets, ["control"], ratio)
-    whole = trees.select(F.struct(*trees.columns).alias("l"), F.col("tree_hash").alias("__l"))
-    other = trees.select(F.struct(*trees.columns).alias("r"), F.col("tree_hash").alias("__r"))
-    return found.toDF("__l", "__r").join(whole, "__l").join(other, "__r").select("l", "r")
+    return _with_trees(found, trees)
+
+
+def _with_trees(pairs: DataFrame, trees: DataFrame) -> DataFrame:
+    a, b = trees.select(F.col("tree_hash").alias("l"), F.col("packed").alias("a")), trees.select(F.col("tree_hash").alias("r"), F.col("packed").alias("b"))
+    return spread(pairs).join(a, "l").join(b, "r").select("l", "r", "a", "b")
 
 
 def similar_functions(units: DataFrame, threshold: float = 0.8, scope: str = "all", min_lines: int = 3, min_tokens: int | None = None, size_penalty: bool = True) -> DataFrame:
@@ -101,7 +110,8 @@ def similar_functions(units: DataFrame, threshold: float = 0.8, scope: str = "al
 
     keep = ("tree", "tree_hash", "value_atoms", "control_atoms", "counted_atoms", "statements")
     trees = rows.groupBy("tree_hash").agg(F.min_by(F.struct("n", *(F.col(f"fn.{c}").alias(c) for c in keep if c != "tree_hash")), "uid").alias("x")).select("tree_hash", "x.*")
-    trees = cut(trees, "trees")
+    # Packed once a class: a pair then moves two byte strings, and a task unpacks each tree once a batch.
+    trees = cut(trees.mapInPandas(_packed, "tree_hash string, n int, value_atoms array<string>, control_atoms array<string>, counted_atoms map<string,int>, packed binary"), "trees")
     pairs = _candidates(trees, threshold)
     known = pairs.mapInPandas(lambda it: _compared(it, threshold), INPUTS)
     none = F.lit(0)

@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 SCOPES = ("all", "same_file", "cross_file")
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows over enough tasks for work that costs far more than moving them.
+
+    Adaptive execution sizes partitions by bytes and would score a million id pairs in one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(tasks or max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def scope_condition(scope: str, left: Column, right: Column) -> Column:
     """Whether a pair of files is in scope."""
     if scope not in SCOPES:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from twinscan.functions import similarity as S
 from twinscan.functions.type_text import normal_type, parts, property_similarity, type_similarity
-from twinscan.operators.pairs import overlap_pairs, scope_condition
+from twinscan.operators.pairs import overlap_pairs, scope_condition, spread
 from twinscan.plans.scratch import cut
 
-SHAPE = "uid {id}, names array<string>, types array<string>, optional array<boolean>"
+SHAPE = "uid {id}, names array<string>, types array<string>, optional array<boolean>, tokens array<string>"
 MATCH = "l {id}, r {id}, matched int, quality_sum double, name_sum double"
 
 
@@ -76,10 +76,21 @@ def differences(a: tuple, b: tuple) -> dict[str, list]:
     }
 
 
+def tokens(names: list[str], types: list[str]) -> list[str]:
+    """What a match shares: the name, or the type (the k-th property of a type has a token of its own)."""
+    seen: dict[str, int] = {}
+    for t in types:
+        seen[t] = seen.get(t, 0) + 1
+    return [f"n:{n}" for n in names] + [f"t:{t}#{k}" for t, n in seen.items() for k in range(n)]
+
+
 def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(uid, *shape([(p["name"] or "", p["type_annotation"] or "", bool(p["optional"])) for p in (props if props is not None else [])])) for uid, props in zip(batch["uid"], batch["properties"])]
-        yield pd.DataFrame(rows, columns=["uid", "names", "types", "optional"])
+        rows = []
+        for uid, props in zip(batch["uid"], batch["properties"]):
+            s = shape([(p["name"] or "", p["type_annotation"] or "", bool(p["optional"])) for p in (props if props is not None else [])])
+            rows.append((uid, *s, tokens(s[0], s[1])))
+        yield pd.DataFrame(rows, columns=["uid", "names", "types", "optional", "tokens"])
 
 
 def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,18 +124,17 @@ def similar_types(units: DataFrame, threshold: float = 0.8, scope: str = "all",
     info = rows.select("uid", "file_path", "name", "kind")
     least = max(0.0, (threshold - 0.15) / 0.85)
 
-    tokens = shapes.select("uid", F.explode(F.transform("names", lambda n: F.concat(F.lit("n:"), n))).alias("token"))
-    typed = shapes.select("uid", F.explode("types").alias("t"), F.lit(1).alias("one"))
-    bag = typed.groupBy("uid", "t").agg(F.count("one").alias("k")).select("uid", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("i"), "t")
-    tokens = tokens.unionByName(bag.select("uid", F.concat(F.lit("t:"), "t", F.lit("#"), F.col("i").cast("string")).alias("token")))
+    held = shapes.select("uid", F.explode("tokens").alias("token"))
     # Of the 2 n name and type tokens of a unit at least the matched number is shared: half the share.
     sizes = shapes.select("uid", (2 * F.size("names")).alias("n")).where("n > 0")
-    pairs = overlap_pairs(tokens, sizes, least / 2) if least > 0 else _all_pairs(sizes)
+    pairs = overlap_pairs(held, sizes, least / 2) if least > 0 else _all_pairs(sizes)
     bare = shapes.where(F.size("names") == 0).select("uid")
     pairs = pairs.unionByName(_bare_pairs(bare.join(info, "uid"), threshold))
 
-    a, b = shapes.toDF("l", "ln", "lt", "lo"), shapes.toDF("r", "rn", "rt", "ro")
-    met = pairs.join(a, "l").join(b, "r").select("l", "r", "ln", "lt", "lo", "rn", "rt", "ro").mapInPandas(_scored, MATCH.format(id=id_type))
+    a, b = shapes.toDF("l", "ln", "lt", "lo", "lk"), shapes.toDF("r", "rn", "rt", "ro", "rk")
+    # Every match shares a token, so too few shared tokens cannot reach the structure; checked before Python scores.
+    enough = F.size(F.array_intersect("lk", "rk")) >= least * (F.size("ln") + F.size("rn")) / 2 - 1e-9
+    met = spread(pairs).join(a, "l").join(b, "r").where(enough).select("l", "r", "ln", "lt", "lo", "rn", "rt", "ro").mapInPandas(_scored, MATCH.format(id=id_type))
     li, ri = info.toDF("l", "lfile", "lname", "lkind"), info.toDF("r", "rfile", "rname", "rkind")
     n = shapes.select("uid", F.size("names").alias("p"))
     out = met.join(li, "l").join(ri, "r").join(n.toDF("l", "p1"), "l").join(n.toDF("r", "p2"), "r")
