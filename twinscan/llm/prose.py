@@ -58,6 +58,8 @@ _NOTICE = re.compile(r"\bwww\.|https?://|\.(?:com|org|net|example|test|invalid)\
 _CREDIT = re.compile(r"\s*(?:subtitles?|captions?|subtítulos|sous-titres|legendas|untertitel|sync\w*|sincron\w*|korrigiert|corri\w*|corrected|translated|tradu\w*|übersetz\w*|relu|revis\w*|bearbeitet|best watched with|ripped|encoded)\b", re.I)
 _DRAWING = re.compile(r"\s*m(?:\s+-?\d+(?:\.\d+)?){2}\s+[lbnsc]\b")
 _CODE = re.compile(r"(?=\S*\d)(?=\S*[a-z])(?=\S*[A-Z])[A-Za-z0-9+/=_-]{16,}")
+_TWO_BYTES = re.compile("[\xc2-\xf4][\x80-\xbf]")
+_DOT_WORD = re.compile(r"\.\w|//|@|[wW]{3}\.")
 _LOST = re.compile("[�?¿½-]{3,}")
 _STROKES = re.compile(r"[lI1|!.,i\s]+\Z")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzçßñ]{5,}|\A[bcdfghjklmnpqrstvwxz]{3,}\Z|[bcdfghjkmnpqrtvwxz]{4,}|q(?!u)|[jvqx][bcdfghjklmnpqrstvwxz]|[bcdfghjkmpqtvwxz][jvx]")
@@ -93,7 +95,7 @@ def _trim(body: list[str], number: bool) -> None:
 def repaired(text: str) -> str:
     """The text with UTF-8 that was read as Latin-1, once or twice, put right; otherwise unchanged."""
     for _ in range(2):
-        if text.isascii():
+        if text.isascii() or not _TWO_BYTES.search(text):
             break
         try:
             text = text.encode("latin-1").decode("utf-8")
@@ -102,7 +104,7 @@ def repaired(text: str) -> str:
     return text
 
 
-def votes(lines: list[str], raw: str, words: list[str], common: list[str], symbols: int) -> int:
+def votes(lines: list[str], raw: str, by_line: list[int], words: list[str], common: list[str], symbols: int) -> int:
     """Bit pattern, in the order of ``RULES``, of the labelling functions that fire on one cue."""
     text = "\n".join(lines)
     n = len(text.replace(" ", "").replace("\n", ""))
@@ -110,8 +112,9 @@ def votes(lines: list[str], raw: str, words: list[str], common: list[str], symbo
         return 0
     letters, known = sum(map(len, words)), sum(map(len, common))
     ended = _END.search(text) is not None
-    longest = max((len(_WORD.findall(x)) for x in lines), default=0) if len(lines) > 1 else len(words)
-    gaps = all(_GAP.search(x) for x in lines)
+    longest = max(by_line)
+    # The plain tests before a pattern are implied by it and spare most cues the search.
+    gaps = ("  " in text or "\t" in text or "|" in text) and all(_GAP.search(x) for x in lines)
     sound = _SOUND.match(text) is not None
     digits = any(c.isdigit() for c in text)
     items = not sound and all(_ITEM.match(x) for x in lines) and not any(_END.search(x) for x in lines)
@@ -120,11 +123,14 @@ def votes(lines: list[str], raw: str, words: list[str], common: list[str], symbo
     parts = 0
     if not ended and len(words) >= 3:
         for mark in (", ", " / ", " · ", " - "):
+            if mark not in text and "\n" not in text:
+                continue
             split = text.replace("\n", " ").split(mark)
             if len(split) >= 3 and all(len(p.split()) <= 3 for p in split):
                 parts = len(split)
-    dots, karaoke = _DOTS.search(text) is not None, _KARAOKE.search(raw) is not None
-    fields = all(_FIELDS.match(x) for x in lines)
+    dots = (".." in text or " ." in text or "…" in text) and _DOTS.search(text) is not None
+    karaoke = "{" in raw and _KARAOKE.search(raw) is not None
+    fields = (";" in text or "|" in text or "\t" in text) and all(_FIELDS.match(x) for x in lines)
     strange = odd and odd >= 0.5 * letters and known <= 0.2 * letters
     names = len(words) >= 2 and not ended and letters >= 0.6 * n and all(w[0].isupper() and (w[1:].islower() or len(w) == 1) for w in words)
     strokes = letters < 0.7 * n and n >= 4 and _STROKES.match(text) is not None
@@ -137,7 +143,7 @@ def votes(lines: list[str], raw: str, words: list[str], common: list[str], symbo
         free and longest >= 4 and letters >= 0.7 * n,
         free and letters >= 0.9 * n,
         sound,
-        _NOTICE.search(text) or _CREDIT.match(text),
+        _DOT_WORD.search(text) and _NOTICE.search(text) or _CREDIT.match(text),
         items,
         parts,
         dots,
@@ -166,10 +172,11 @@ def _measured(batches: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterat
                 raw = repaired("\n".join(body))
                 lines = [x for x in (_TAGS.sub("", raw) if "<" in raw or "{" in raw else raw).split("\n") if x.strip()]
                 clean = "\n".join(lines)
-                words = _WORD.findall(clean)
+                found = [_WORD.findall(x) for x in lines]
+                words = [w for x in found for w in x]
                 known = [w for w in words if w.lower() in common]
                 symbols = len(_SYMBOL.findall(clean))
-                codes.append(votes(lines, raw, words, known, symbols))
+                codes.append(votes(lines, raw, [len(x) for x in found], words, known, symbols))
                 n_lines += len(lines)
                 n_words += len(words)
                 word_chars += sum(map(len, words))
