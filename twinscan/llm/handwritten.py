@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.llm.lexer import language_of, problem
+from twinscan.plans.scratch import cut
 
 TEXT_BINS, PATH_BINS = 1 << 13, 1 << 11
 SAMPLE = 4000  # most rows of each label the classifier is fitted on
@@ -100,7 +101,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12) -> n
     n = len(y)
     cost = np.where(y > 0, c * n / (2.0 * max(1, (y > 0).sum())), c * n / (2.0 * max(1, (y < 0).sum())))
     alpha, w = np.zeros(n), np.zeros(x.shape[1], np.float64)
-    diagonal = (x.astype(np.float64) ** 2).sum(axis=1) + 0.5 / cost
+    diagonal = np.einsum("ij,ij->i", x, x).astype(np.float64) + 0.5 / cost
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         for i in rng.permutation(n):
@@ -144,7 +145,9 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"weights": [b""], "figures": ["no rows of both labels to fit on"]})
         return
     paths = [clean_path(p) for p in rows["path"]]
-    x = np.array([features(p, t) for p, t in zip(paths, rows["text"])])
+    x = np.empty((len(rows), TEXT_BINS + PATH_BINS + 1), np.float32)
+    for i, (p, t) in enumerate(zip(paths, rows["text"])):
+        x[i] = features(p, t)
     w, figures = fit(x, np.where(rows["sure"], 1, -1), held_out(paths))
     yield pd.DataFrame({"weights": [w.astype(np.float32).tobytes()], "figures": [repr(figures)]})
 
@@ -173,7 +176,7 @@ def fit_classifier(df: DataFrame, file_id: Column, path: Column, content: Column
     depend on order or partitioning. Only the weights come to the driver.
     """
     rows = _rows(df, file_id, path, content)
-    labels = rows.mapInPandas(_label, "id long, sure boolean")
+    labels = cut(rows.mapInPandas(_label, "id long, sure boolean"), "labels")  # read twice below
     order = F.xxhash64("id", F.lit(5))
     chosen = labels.where("sure").orderBy(order).limit(sample).unionByName(labels.where("not sure").orderBy(order).limit(sample)).distinct()
     fitted = rows.where("text <> ''").join(F.broadcast(chosen), "id").repartition(1).mapInPandas(_train, "weights binary, figures string").first()
