@@ -159,3 +159,34 @@ def test_edit_similarity_against_scalar(spark):
     df = spark.createDataFrame([r for r in rows if r[0] > 0 or r[1] == r[2]], "d double, a int, b int")
     for r in df.withColumn("s", S.edit_similarity(F.col("d"), F.col("a"), F.col("b"))).collect():
         assert r["s"] == pytest.approx(scalar_edit(r["d"], r["a"], r["b"])), r
+
+
+def test_similar_classes_equal_brute_force(spark):
+    from twinscan.operators import classes_mode as C
+
+    rng = random.Random(9)
+    types, names = ["string", "number", "Map<string, User>", "Map<string, Order>", ""], ["items", "rows", "count", "getItem", "getItems", "add", "addAll", "remove", "x"]
+    rows = []
+    for i in range(45):
+        fields = [(n, rng.choice(types), rng.random() < 0.2, False, False, False) for n in rng.sample(names, rng.randrange(0, 4))]
+        methods = [(n, [f"a: {rng.choice(types)}"], rng.choice([None, "void", "User"]), rng.random() < 0.1, False, False, False, rng.choice(["method", "getter"]), rng.choice([None, 1, 2])) for n in rng.sample(names, rng.randrange(0, 4))]
+        rows.append((i, f"f{i % 5}.ts", rng.choice(["UserStore", "OrderStore", "Cache", None]), rng.choice([None, "Base"]), rng.choice([None, ["I"], []]), fields or None, methods))
+    schema = (
+        "uid long, file_path string, name string, extends_name string, implements_names array<string>, "
+        "properties array<struct<name:string,type_annotation:string,is_static:boolean,is_private:boolean,is_readonly:boolean,is_optional:boolean>>, "
+        "methods array<struct<name:string,parameters:array<string>,return_type:string,is_static:boolean,is_private:boolean,is_async:boolean,is_generator:boolean,kind:string,body_fingerprint:long>>"
+    )
+    df = spark.createDataFrame(rows, schema)
+    units = df.collect()
+    for threshold in (0.5, 0.8):
+        want = {}
+        for a, b in itertools.combinations(units, 2):
+            f, g, m, n = C.fields(a["properties"]), C.fields(b["properties"]), C.methods(a["methods"]), C.methods(b["methods"])
+            total = len(f) + len(g) + len(m) + len(n)
+            same = a["extends_name"] == b["extends_name"] and (a["implements_names"] or []) == (b["implements_names"] or [])
+            s = min(1.0, (C.field_credit(f, g) + C.method_credit(m, n)) / total) if total else 0.85 if same else 0.3
+            score = 0.85 * s + 0.15 * plain_similarity(a["name"] or "", b["name"] or "")
+            if score >= threshold:
+                want[a["uid"], b["uid"]] = pytest.approx(score)
+        assert {(r["l"], r["r"]): r["score"] for r in C.similar_classes(df, threshold).collect()} == want
+    assert C.similar_classes(df.limit(0)).count() == 0

@@ -33,6 +33,12 @@ def methods(rows) -> dict[str, tuple]:
     return out
 
 
+def length_bound(a: str, b: str) -> float:
+    """What the similarity of two names cannot exceed, by their lengths."""
+    longest = max(len(a), len(b))
+    return min(len(a), len(b)) / longest if longest else 1.0
+
+
 def field_credit(a: dict, b: dict) -> float:
     """Credit of matched fields, 2 for a full match.
 
@@ -49,14 +55,11 @@ def field_credit(a: dict, b: dict) -> float:
         t, static = a[n]
         best, top = None, -1.0
         for m, (u, other) in free.items():
-            if t == u:
-                kind = 1.0
-            elif t and u:
-                shared = next((i for i, (x, y) in enumerate(zip(t, u)) if x != y), min(len(t), len(u)))
-                kind = min(0.6, shared / max(len(t.encode()), len(u.encode())))
-            else:
-                kind = 0.4
-            score = (0.8 * kind + 0.2 * plain_similarity(n, m)) * (1.0 if static == other else 0.4)
+            # Only equal types can reach 0.7: another type gives 0.6 of 0.8 at most, and 0.2 for the name.
+            scale = 1.0 if static == other else 0.4
+            if t != u or (0.8 + 0.2 * length_bound(n, m)) * scale <= max(top, 0.7 - 1e-9):
+                continue
+            score = (0.8 + 0.2 * plain_similarity(n, m)) * scale
             if score > top:
                 best, top = m, score
         if best is not None and top >= 0.7:
@@ -83,8 +86,11 @@ def method_credit(a: dict, b: dict) -> float:
         best, top = None, -1.0
         for m, other in free.items():
             sign = 1.0 if a[n][0] == other[0] else 0.85 if a[n][1] == other[1] else 0.4 + 0.4 * overlap_of_words(a[n][1], other[1])
+            twin = sign >= 0.85 and a[n][4] is not None and a[n][4] == other[4]
+            if not twin and 0.6 * sign + 0.4 * length_bound(n, m) <= max(top, 0.65 - 1e-9):
+                continue
             score = 0.6 * sign + 0.4 * plain_similarity(n, m)
-            if sign >= 0.85 and a[n][4] is not None and a[n][4] == other[4]:
+            if twin:
                 score = max(score, 0.95)
             if score > top:
                 best, top = m, score

@@ -27,7 +27,7 @@ UNITS = f"file_path string, unit_kind string, seq int, start_line int, end_line
 _COLUMNS = ["file_path", "unit_kind", "seq", "start_line", "end_line", "has_ignore", "fn", "ty", "cl", "error"]
 
 
-def _units(batches: Iterator[pd.DataFrame], literals: bool) -> Iterator[pd.DataFrame]:
+def _units(batches: Iterator[pd.DataFrame], literals: bool, kinds: tuple[str, ...], parts: bool) -> Iterator[pd.DataFrame]:
     from twinscan.ts.units import Extractor, ParseError
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
@@ -35,8 +35,9 @@ def _units(batches: Iterator[pd.DataFrame], literals: bool) -> Iterator[pd.DataF
         rows: list[tuple] = []
         for path, text in zip(batch["file_path"], batch["content"]):
             try:
-                e = Extractor(path, text or "")
-                found = (("function", "fn", e.functions()), ("type", "ty", e.types(literals)), ("class", "cl", e.classes()))
+                e = Extractor(path, text or "", parts)
+                read = (("function", "fn", e.functions), ("type", "ty", lambda e=e: e.types(literals)), ("class", "cl", e.classes))
+                found = [(kind, column, get()) for kind, column, get in read if kind in kinds]
             except (ParseError, RecursionError) as problem:
                 rows.append((path, "error", 0, None, None, None, None, None, None, f"Parse errors: {problem}"))
                 continue
@@ -47,9 +48,11 @@ def _units(batches: Iterator[pd.DataFrame], literals: bool) -> Iterator[pd.DataF
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def extract_units(files: DataFrame, path: Column | None = None, content: Column | None = None, literals: bool = False, tasks: int | None = None) -> DataFrame:
+def extract_units(files: DataFrame, path: Column | None = None, content: Column | None = None, literals: bool = False, tasks: int | None = None, kinds: tuple[str, ...] = ("function", "type", "class"), parts: bool = True) -> DataFrame:
     """Units of all files (schema ``UNITS``); a file that does not parse gives one row of kind ``error``.
 
+    ``kinds`` names the units wanted; ``parts`` says whether functions carry the subtrees that overlaps need.
+
     Parsing costs far more than moving a text, so the files are spread evenly first, over ``tasks`` tasks (by
     default three a core, or the session's shuffle partitions if those are more).
 
@@ -59,7 +62,7 @@ def extract_units(files: DataFrame, path: Column | None = None, content: Column
     spark = files.sparkSession
     tasks = tasks or max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.where("file_path is not null").repartition(tasks, F.xxhash64("file_path"))
-    return rows.mapInPandas(lambda it: _units(it, literals), UNITS)
+    return rows.mapInPandas(lambda it: _units(it, literals, kinds, parts), UNITS)
 
 
 def with_uid(units: DataFrame) -> DataFrame:

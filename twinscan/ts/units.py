@@ -213,8 +213,8 @@ def subtrees(text: str, path: str) -> list[dict] | None:
 class Extractor:
     """Units of one file."""
 
-    def __init__(self, path: str, text: str):
-        self.path, self.text = path, text
+    def __init__(self, path: str, text: str, parts: bool = True):
+        self.path, self.text, self.parts = path, text, parts  # parts: whether functions carry their subtrees
         self.program = parse(text, path)
         self.at = Lines(text)
         self.lines = text.split("\n")
@@ -288,7 +288,7 @@ class Extractor:
                 "tree": arrays(tree) if tree else None, "tree_hash": tree.key().hex() if tree else None,
                 "value_atoms": sorted(values), "control_atoms": sorted(control), "counted_atoms": dict(counted),
                 "statements": [{"hash": h, "names": names} for h, names in (statements(tree) if tree else [])],
-                "subtrees": subtrees(lines, self.path),
+                "subtrees": subtrees(lines, self.path) if self.parts else None,
             }
         )
 
