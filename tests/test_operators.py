@@ -190,3 +190,14 @@ def test_similar_classes_equal_brute_force(spark):
                 want[a["uid"], b["uid"]] = pytest.approx(score)
         assert {(r["l"], r["r"]): r["score"] for r in C.similar_classes(df, threshold).collect()} == want
     assert C.similar_classes(df.limit(0)).count() == 0
+
+
+def test_type_literals_against_definitions_and_each_other(spark):
+    from twinscan.operators.types_mode import similar_literal_pairs, similar_type_literals
+
+    schema = "uid long, file_path string, name string, kind string, has_ignore boolean, start_line int, end_line int, properties array<struct<name:string,type_annotation:string,optional:boolean,readonly:boolean>>"
+    p = [("a", "string", False, False), ("b", "number", False, False)]
+    rows = [(1, "x", "User", "interface", False, 1, 4, p), (2, "y", "f (return type)", "typeLiteral", False, 3, 3, p), (3, "x", "user (variable)", "typeLiteral", False, 9, 9, p), (4, "x", "User (x)", "typeLiteral", False, 2, 3, p)]
+    df = spark.createDataFrame(rows, schema)
+    assert {(r["literal"], r["definition"]) for r in similar_type_literals(df, 0.8).collect()} == {(2, 1), (3, 1)}
+    assert {(r["l"], r["r"]) for r in similar_literal_pairs(df, 0.8).collect()} == {(2, 3), (2, 4), (3, 4)}

@@ -154,6 +154,25 @@ def duplicate_types(units: DataFrame, threshold: float = 0.8, **kw) -> DataFrame
     return similar_types(units, max(threshold, 0.9), **kw)
 
 
+def similar_type_literals(units: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Type literals like a named type: literal, definition (uid), score, structural_score, naming_score.
+
+    ``units`` as of ``similar_types`` with start_line and end_line. A literal and a definition of one file whose
+    lines overlap are one text and make no pair.
+    """
+    side = units.select("uid", F.struct("file_path", "kind", "start_line", "end_line").alias("u"))
+    pairs = similar_types(units, threshold).join(side.toDF("l", "a"), "l").join(side.toDF("r", "b"), "r")
+    first, second = F.col("a.kind") == "typeLiteral", F.col("b.kind") == "typeLiteral"
+    apart = (F.col("a.file_path") != F.col("b.file_path")) | (F.col("a.end_line") < F.col("b.start_line")) | (F.col("b.end_line") < F.col("a.start_line"))
+    pairs = pairs.where((first != second) & apart)
+    return pairs.select(F.when(first, F.col("l")).otherwise(F.col("r")).alias("literal"), F.when(first, F.col("r")).otherwise(F.col("l")).alias("definition"), "score", "structural_score", "naming_score")
+
+
+def similar_literal_pairs(units: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs of type literals like each other: l, r (uid), score, structural_score, naming_score."""
+    return similar_types(units.where(F.col("kind") == "typeLiteral"), threshold)
+
+
 def _all_pairs(sizes: DataFrame) -> DataFrame:
     from twinscan.operators.pairs import band_pairs
 
