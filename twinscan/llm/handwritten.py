@@ -1,7 +1,7 @@
 """Telling hand-written source from tool output, minified and vendored files and data held as code.
 
 Method: linear support-vector classification of hashed character n-grams and path components. No labels
-are given, so labelling rules (tell-tale header comments, paths of package folders, the shape of bundles and
+are given, so labelling rules (tell-tale comment lines, paths of package folders, the shape of bundles and
 data) mark sure cases, the tell-tale lines themselves are masked from the features, and the classifier carries
 what it learns from the sure cases to files without any mark. Unmarked files serve as negatives; those the
 first fits place firmly among the positives are taken for hidden ones and left out of the next. Validation
@@ -36,7 +36,6 @@ _TELL = re.compile(
     r")[^\n]*$|^[ \t]*/\*!?[ \t]*\S+ v?\d+\.\d+[ \t]*\*/",
     re.I | re.M,
 )
-_LABEL_LINES = 30
 # Folders and name parts that package managers, bundlers and generators use.
 _PATH = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|third_party|__generated__|generated)/|[.-]min\.|(?:_pb|\.pb|\.codegen|\.generated|\.g|\.bundle|\.chunk)\.[a-z]+$", re.I)
 _COMPILED = re.compile(r'"use strict";\s*Object\.defineProperty\(exports, ?"__esModule"|webpackChunk|__webpack_require__|^[\s;!(]*eval\(function\(p,a,c,k,e|typeof define ?=== ?\'function\' ?&& ?define\.amd')
@@ -48,14 +47,8 @@ def clean_path(path: str | None) -> str:
 
 
 def sure_case(path: str, text: str) -> bool:
-    """Whether a labelling rule marks the file as not hand-written."""
-    if _PATH.search(path.split("/", 1)[-1]) or _COMPILED.search(text):
-        return True
-    head, at = 0, 0
-    while head < _LABEL_LINES and at >= 0:
-        at = text.find("\n", at) + 1 or -1
-        head += 1
-    if _TELL.search(text if at < 0 else text[:at]):
+    """Whether a labelling rule marks the file as not hand-written. Like ``features``, it reads the whole text."""
+    if _PATH.search(path.split("/", 1)[-1]) or _COMPILED.search(text) or _TELL.search(text):
         return True
     lines = text.count("\n") + 1
     if len(text) > 400 and len(text) / lines > 200:
