@@ -11,6 +11,7 @@ from twinscan.llm.handwritten import classify, fit_classifier
 from twinscan.llm.mixing import mix
 from twinscan.llm.neardup import expand_links, near_duplicate_groups, near_duplicates
 from twinscan.llm.packing import fill_report, pack
+from twinscan.llm.passages import fuzzy_passages
 from twinscan.llm.prose import measure, statistics, text_types
 from twinscan.llm.spans import shared_passages, shared_ranges, shared_shares
 from twinscan.llm.syntax import invalid_files, invalid_rates, parse_verdicts
@@ -43,7 +44,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_passages(spark: SparkSession, d: str) -> DataFrame:
-    return _passages(spark, d)[1].drop("blocks")
+    return fuzzy_passages(table(spark, d, "project_files"), F.col("file_id"), F.col("content"), k=12, seed=12)
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Long exact spans shared between records, and the fuzzy passages around them.
+"""Long exact spans shared between records.
 
 Method: seeds are k-mers of lines (k = the least span wanted). Equal seeds of different records are
-joined, the matches of a record pair are chained in order with gap costs through a Fenwick tree, and each
-chain is aligned block by block: its exact blocks give the verbatim ranges, its extent the fuzzy passage.
+joined, the matches of a record pair are chained in order with gap costs through a Fenwick tree, and the
+exact blocks of the chains give the verbatim ranges. Passages between all pairs of records: ``passages``.
 
 A seed shared by very many records would give all pairs of them; instead each seed has two anchors, the
 smallest and the largest record holding it, and every record is matched with an anchor other than itself.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 PASSAGE = "record_id long, other_id long, start_line long, end_line long, other_start long, other_end long, exact_lines long, score double, blocks array<struct<s:long,e:long>>"
 
 
-def _line_hashes(text: Column) -> tuple[Column, Column]:
+def line_hashes(text: Column) -> tuple[Column, Column]:
     """Hashes of the lines of a text and their number; nothing after the last line feed is no line."""
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))
     return lines, F.size(lines) - F.when(text.endswith("\n") | (text == ""), 1).otherwise(0)
@@ -30,7 +30,7 @@ def _line_hashes(text: Column) -> tuple[Column, Column]:
 def seeds(df: DataFrame, record_id: Column, text: Column, k: int) -> DataFrame:
     """One row per run of ``k`` lines: h, h2 (96 bits of hash), id, at (line from 1)."""
     rows = df.select(record_id.cast("long").alias("id"), text.alias("__t")).where("id is not null and __t is not null")
-    hashes, n = _line_hashes(F.col("__t"))
+    hashes, n = line_hashes(F.col("__t"))
     rows = rows.select("id", hashes.alias("lh"), n.alias("n")).where(F.col("n") >= k)
     grams = F.transform(F.sequence(F.lit(1), F.col("n") - (k - 1)), lambda i: F.struct(F.xxhash64(F.slice("lh", i, k)).alias("h"), F.hash(F.slice("lh", i, k)).alias("h2"), i.alias("at")))
     return rows.select("id", F.inline(grams)).select("h", "h2", "id", "at")
