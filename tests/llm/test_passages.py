@@ -78,6 +78,18 @@ def test_a_chain_runs_through_a_later_copy_of_a_repeated_block(spark):
     assert best[2:8] == (1, 25, 54, 77, 24, 24)
 
 
+def test_a_passage_edited_more_often_than_every_k_lines_is_found_and_aligned(spark):
+    base = numbered("s", 60)
+    other = [x if i % 6 else f"edit{i}" for i, x in enumerate(base)]
+    other[12:12] = ["added"]
+    rows = [(1, text(base)), (2, text(numbered("h", 5), other))]
+    (back, there) = found(spark, rows, k=12, seed=4)
+    assert back[:2] == (1, 2) and there[:2] == (2, 1)
+    assert back[2:8] == (2, 60, 7, 66, 50, 50) and back[8] == pytest.approx(100 / 119)
+    rows = [(1, text(numbered("a", 8), ["g1", "same", "g2"], numbered("b", 8))), (2, text(numbered("a", 8), ["same", "o"], numbered("b", 8)))]
+    assert found(spark, rows, k=12, seed=4)[0][2:9] == (1, 19, 1, 18, 16, 17, 34 / 37)
+
+
 @pytest.mark.parametrize("k,seed,per_salt", [(4, 4, 1000), (6, 2, 1), (5, 2, 3)])
 def test_passages_agree_with_brute_force(spark, k, seed, per_salt):
     rng = random.Random(k * 10 + seed)
