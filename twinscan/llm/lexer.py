@@ -321,54 +321,57 @@ def _first_in_parens(text: str, colon: int, stack: list[tuple[str, str]]) -> boo
 
 def _open_tag(text: str, tag: re.Match, stack: list[tuple[str, str]]) -> tuple[int, str | None]:
     stack.append(("<", tag[1] or ""))
-    return _attributes(text, tag.end(), stack)
+    return _jsx(text, tag.end(), stack, "attribute")
 
 
-def _attributes(text: str, pos: int, stack: list[tuple[str, str]]) -> tuple[int, str | None]:
+def _jsx(text: str, pos: int, stack: list[tuple[str, str]], place: str) -> tuple[int, str | None]:
+    """From a place inside a tag ("attribute") or between tags to the next brace or to the end of the outermost element.
+
+    One loop over the stack: neither the number of elements nor their depth is bounded.
+    """
     while True:
-        m = _ATTRIBUTE.match(text, pos)
-        if m is None:
+        if place == "attribute":
+            m = _ATTRIBUTE.match(text, pos)
+            if m is None:
+                return pos, "bad markup"
+            pos = m.end()
+            if m[2] or m[1] and text[pos : pos + 1] == "{" and text[pos - 1] in "= \t\n":
+                if not m[2]:
+                    pos += 1
+                stack.append(("{", "attribute"))
+                return pos, None
+            if m[3]:
+                stack.pop()
+                if not _in_element(stack):
+                    return pos, None
+            if m[3] or m[4]:
+                place = "child"
+            continue
+        pos = _JSX_TEXT.match(text, pos).end()
+        c = text[pos : pos + 1]
+        if not c:
+            return pos, "premature end"
+        if c in ">}":
             return pos, "bad markup"
-        pos = m.end()
-        if m[2] or m[1] and text[pos : pos + 1] == "{" and text[pos - 1] in "= \t\n":
-            if not m[2]:
-                pos += 1
-            stack.append(("{", "attribute"))
-            return pos, None
-        if m[3]:
+        if c == "{":
+            stack.append(("{", "child"))
+            return pos + 1, None
+        close = _CLOSE_TAG.match(text, pos)
+        if close:
+            if not stack or stack[-1][0] != "<" or stack[-1][1] != (close[1] or ""):
+                return pos, "unbalanced markup"
             stack.pop()
-            return _after_element(text, pos, stack)
-        if m[4]:
-            return _children(text, pos, stack)
-
-
-def _children(text: str, pos: int, stack: list[tuple[str, str]]) -> tuple[int, str | None]:
-    pos = _JSX_TEXT.match(text, pos).end()
-    c = text[pos : pos + 1]
-    if not c:
-        return pos, "premature end"
-    if c in ">}":
-        return pos, "bad markup"
-    if c == "{":
-        stack.append(("{", "child"))
-        return pos + 1, None
-    close = _CLOSE_TAG.match(text, pos)
-    if close:
-        if not stack or stack[-1][0] != "<" or stack[-1][1] != (close[1] or ""):
-            return pos, "unbalanced markup"
-        stack.pop()
-        return _after_element(text, close.end(), stack)
-    tag = _TAG.match(text, pos)
-    if tag[1] is None and text[tag.end() : tag.end() + 1] != ">":
-        return pos, "bad markup"
-    return _open_tag(text, tag, stack)
-
-
-def _after_element(text: str, pos: int, stack: list[tuple[str, str]]) -> tuple[int, str | None]:
-    """After a complete element: more children if it lies in another element, else code again."""
-    return _children(text, pos, stack) if stack and stack[-1][0] == "<" else (pos, None)
+            pos = close.end()
+            if not _in_element(stack):
+                return pos, None
+            continue
+        tag = _TAG.match(text, pos)
+        if tag[1] is None and text[tag.end() : tag.end() + 1] != ">":
+            return pos, "bad markup"
+        stack.append(("<", tag[1] or ""))
+        pos, place = tag.end(), "attribute"
 
 
-def _jsx(text: str, pos: int, stack: list[tuple[str, str]], place: str) -> tuple[int, str | None]:
-    """After the brace that ends an attribute's or child's expression."""
-    return _attributes(text, pos, stack) if place == "attribute" else _children(text, pos, stack)
+def _in_element(stack: list[tuple[str, str]]) -> bool:
+    """Whether what follows a complete element is a child of another one; else it is code again."""
+    return bool(stack) and stack[-1][0] == "<"
