@@ -20,8 +20,6 @@ from twinscan.llm.tokens import VOCABULARY, token_count
 from twinscan.plans.scratch import cut
 
 SHARD = 4000  # documents of one index
-QUERY_TERMS = 16  # rarest words of the seed that are looked up
-NEIGHBOURS = 96  # best-scored neighbours tried before the shard's other documents
 SIZED = "id long, n_tokens long, length int, terms binary, counts binary"
 PACKED = "limit_name string, capacity long, container_id string, doc_id long, part int, start_token long, n_tokens long"
 
@@ -57,11 +55,10 @@ class Index:
         weight = tf * (k1 + 1) / (tf + norm[doc].astype(np.float32))
         self.weight = weight[order] * np.repeat(idf, df)
         at = np.cumsum([0, *(len(t) for t in terms)])
-        self.query = []  # for each document its rarest words that another document has too
+        self.query = []  # for each document its words that another document has too
         for i in range(self.n):
             own = number[at[i] : at[i + 1]]
-            own = own[df[own] > 1]
-            self.query.append(own[np.argsort(df[own], kind="stable")[:QUERY_TERMS]])
+            self.query.append(own[df[own] > 1])
 
     def scores(self, i: int) -> np.ndarray:
         spans = [slice(self.first[t], self.last[t]) for t in self.query[i]]
@@ -102,19 +99,19 @@ def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
         room, members = capacity - int(sizes[seed]), [seed]
         smallest = int(sorted_sizes[0])
         if room >= smallest:
-            score = index.scores(seed)
-            score[used] = 0
-            score[sizes > room] = 0
+            open_ = ~used & (sizes <= room)
+            score = np.where(open_, index.scores(seed), 0) if open_.any() else np.zeros(n)
             near = np.flatnonzero(score)
-            if len(near) > NEIGHBOURS:
-                near = near[np.argpartition(-score[near], NEIGHBOURS)[:NEIGHBOURS]]
-            for i in near[np.lexsort((near, -score[near]))]:
-                if sizes[i] <= room:
-                    take(int(i))
-                    members.append(int(i))
-                    room -= int(sizes[i])
-                    if room < smallest:
-                        break
+            near = near[np.lexsort((near, -score[near]))]
+            fits = np.flatnonzero(sizes[near] <= room)
+            while len(fits):  # the best neighbour that fits, then on from there
+                near = near[fits]
+                i = int(near[0])
+                take(i)
+                members.append(i)
+                room -= int(sizes[i])
+                near = near[1:]
+                fits = np.flatnonzero(sizes[near] <= room)
             while room >= smallest and (p := unused(int(np.searchsorted(sorted_sizes, room, "right")) - 1)) >= 0:
                 i = int(by_size[p])
                 take(i)
