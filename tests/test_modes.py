@@ -10,6 +10,7 @@ from twinscan.operators.edit_distance import BEYOND, Flat, distance, lower_bound
 from twinscan.operators.functions_mode import permuted
 from twinscan.operators.overlap_mode import weight_windows
 from twinscan.options import Options
+from twinscan.ts.units import DIRECTIVE
 
 LOAD = """export async function loadAccount(id: string, cache: Map<string, Account>) {
   const known = cache.get(id);
@@ -78,7 +79,7 @@ def test_twins_are_found_across_files(spark):
 
 
 def test_scope_gates_and_ignore(spark):
-    files = {"a.ts": LOAD, "b.ts": "// similarity-ignore\n" + FETCH}
+    files = {"a.ts": LOAD, "b.ts": f"// {DIRECTIVE}\n" + FETCH}
     assert not names(run(spark, files, modes=("functions",))[0], "functions")
     files = {"a.ts": LOAD, "b.ts": FETCH}
     assert not names(run(spark, files, modes=("functions",), same_file_only=True)[0], "functions")
@@ -193,5 +194,5 @@ def test_weight_windows_equal_one_pass_per_size():
                     if weight >= size:
                         want.add((size, weight, tuple(x[3] for x in items[i : j + 1])))
                         break
-        got = {(size, w[0], tuple(w[5])) for w in weight_windows(items, 4, 8) for size in range(w[1], w[2] + 1)}
+        got = {(size, w[2], tuple(x[3] for x in items[w[0] : w[1] + 1])) for w in weight_windows(items, 4, 8) for size in range(w[3], w[4] + 1)}
         assert got == want

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twinscan.functions import similarity as S
-from twinscan.functions.type_text import levenshtein, normal_type, overlap_of_words, plain_similarity, property_similarity, type_similarity
+from twinscan.functions import likeness as S
+from twinscan.functions.type_text import levenshtein, normal_type, overlap_of_words, plain_likeness, property_likeness, type_likeness
 from twinscan.operators.heavy_keys import heavy_keys, key_summaries
 from twinscan.operators.pairs import band_pairs, exact_classes, overlap_pairs, scope_condition, subset_pairs, without_contained
 from twinscan.operators.types_mode import differences, greedy_groups, matches, shape, similar_types
@@ -85,8 +85,8 @@ def test_names_agree_between_columns_and_python(spark):
     rows = [(a, b) for a in words for b in words]
     df = spark.createDataFrame(rows, "a string, b string")
     a, b = F.col("a"), F.col("b")
-    for r in df.select("a", "b", S.property_name_similarity(a, b).alias("p"), S.name_similarity(a, b).alias("n"), S.token_overlap(a, b).alias("t")).collect():
-        assert r["p"] == pytest.approx(property_similarity(r["a"], r["b"])) and r["n"] == pytest.approx(plain_similarity(r["a"], r["b"])) and r["t"] == pytest.approx(overlap_of_words(r["a"], r["b"]))
+    for r in df.select("a", "b", S.property_name_likeness(a, b).alias("p"), S.name_likeness(a, b).alias("n"), S.token_overlap(a, b).alias("t")).collect():
+        assert r["p"] == pytest.approx(property_likeness(r["a"], r["b"])) and r["n"] == pytest.approx(plain_likeness(r["a"], r["b"])) and r["t"] == pytest.approx(overlap_of_words(r["a"], r["b"]))
     assert levenshtein("kitten", "sitting") == 3
 
 
@@ -104,8 +104,8 @@ def test_normal_types():
         ("Map<a, b>", "Map<b, a>", 0.25), ("Map<a, b>", "Set<a>", 0.2), ("() => A", "A", 0.15), ("(x: a) => A", "(y: a) => B", 0.48), ("(x: a, y: b) => A", "(x: a) => A", 0.755), ("{ a: b }", "{ a: c }", 0.875),
     ],
 )
-def test_type_similarity(a, b, score):
-    assert type_similarity(a, b) == pytest.approx(score) and type_similarity(b, a) == pytest.approx(score)
+def test_type_likeness(a, b, score):
+    assert type_likeness(a, b) == pytest.approx(score) and type_likeness(b, a) == pytest.approx(score)
 
 
 def test_property_matching_rules():
@@ -153,11 +153,11 @@ def scalar_edit(d, n1, n2):
     return s * (r**0.5 if r < 0.5 else 1)
 
 
-def test_edit_similarity_against_scalar(spark):
+def test_edit_likeness_against_scalar(spark):
     rng = random.Random(8)
     rows = [(float(round(abs(a - b) + rng.choice([0, 0.3, 0.6, 2.1, 7]), 2)), a, b) for a, b in ((rng.randrange(1, 60), rng.randrange(1, 60)) for _ in range(400))] + [(0.0, n, n) for n in (1, 5, 8, 40)]
     df = spark.createDataFrame([r for r in rows if r[0] > 0 or r[1] == r[2]], "d double, a int, b int")
-    for r in df.withColumn("s", S.edit_similarity(F.col("d"), F.col("a"), F.col("b"))).collect():
+    for r in df.withColumn("s", S.edit_likeness(F.col("d"), F.col("a"), F.col("b"))).collect():
         assert r["s"] == pytest.approx(scalar_edit(r["d"], r["a"], r["b"])), r
 
 
@@ -185,7 +185,7 @@ def test_similar_classes_equal_brute_force(spark):
             total = len(f) + len(g) + len(m) + len(n)
             same = a["extends_name"] == b["extends_name"] and (a["implements_names"] or []) == (b["implements_names"] or [])
             s = min(1.0, (C.field_credit(f, g) + C.method_credit(m, n)) / total) if total else 0.85 if same else 0.3
-            score = 0.85 * s + 0.15 * plain_similarity(a["name"] or "", b["name"] or "")
+            score = 0.85 * s + 0.15 * plain_likeness(a["name"] or "", b["name"] or "")
             if score >= threshold:
                 want[a["uid"], b["uid"]] = pytest.approx(score)
         assert {(r["l"], r["r"]): r["score"] for r in C.similar_classes(df, threshold).collect()} == want

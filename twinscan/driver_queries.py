@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscan.engine import analyze
-from twinscan.functions import similarity as S
+from twinscan.functions import likeness as S
 from twinscan.functions.normalize import norm_path, valid_score
 from twinscan.operators.classes_mode import similar_classes
 from twinscan.operators.extract import extract_units
@@ -44,15 +44,15 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return names.select(F.col("name").alias("uid"), "name", F.char_length("name").alias("n"))
 
 
-def name_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = S.name_similarity(F.col("l.name"), F.col("r.name"))
+def name_likeness_pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = S.name_likeness(F.col("l.name"), F.col("r.name"))
     pairs = band_pairs(_names(spark, d), "uid", "n", 0.75, s >= 0.75)
     return pairs.select(F.col("l.name").alias("l"), F.col("r.name").alias("r"), F.round(s, 6).alias("score"))
 
 
 def property_name_pairs(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "type_units").select(F.explode("properties").alias("p")).select(F.col("p.name").alias("name")).where("name is not null").distinct()
-    s = S.property_name_similarity(F.col("l.name"), F.col("r.name"))
+    s = S.property_name_likeness(F.col("l.name"), F.col("r.name"))
     pairs = band_pairs(names.select(F.col("name").alias("uid"), "name", F.char_length("name").alias("n")), "uid", "n", 0.8, s >= 0.8)
     return pairs.select(F.col("l.name").alias("l"), F.col("r.name").alias("r"), F.round(s, 6).alias("score"))
 
@@ -85,10 +85,10 @@ def parameter_subset_pairs(spark: SparkSession, d: str) -> DataFrame:
     return subset_pairs(sets, ["class_name"])
 
 
-def edit_similarity_scores(spark: SparkSession, d: str) -> DataFrame:
+def edit_likeness_scores(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("n1"), (F.col("l_linenumber") * 7).cast("double").alias("n2"), (F.col("l_discount") * 40).alias("extra"))
     l = l.withColumn("d", F.round(F.abs(F.col("n1") - F.col("n2")) + F.when(F.col("extra") > 1, F.col("extra")).otherwise(0.0), 4))
-    s = S.edit_similarity(F.col("d"), F.col("n1"), F.col("n2"))
+    s = S.edit_likeness(F.col("d"), F.col("n1"), F.col("n2"))
     return l.select("l_orderkey", "l_linenumber", F.round(s, 6).alias("score"))
 
 
@@ -119,7 +119,7 @@ def union_type_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = u.select("unit_id", F.col("p.name").alias("name"), members.alias("m")).distinct()
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.unit_id") == F.col("b.unit_id")) & (F.col("a.name") < F.col("b.name")))
-    return met.select(F.col("a.unit_id").alias("unit_id"), F.col("a.name").alias("l"), F.col("b.name").alias("r"), F.round(S.union_type_similarity(F.col("a.m"), F.col("b.m")), 6).alias("score"))
+    return met.select(F.col("a.unit_id").alias("unit_id"), F.col("a.name").alias("l"), F.col("b.name").alias("r"), F.round(S.union_type_likeness(F.col("a.m"), F.col("b.m")), 6).alias("score"))
 
 
 def _scoped(spark: SparkSession, d: str, scope: str) -> DataFrame:
@@ -192,8 +192,8 @@ def _mode(mode: str):
 
 
 _ALL = [
-    p4_found, p4_summaries, name_similarity_pairs, property_name_pairs, size_band_pairs, exact_text_classes, property_jaccard_pairs, parameter_subset_pairs,
-    edit_similarity_scores, short_factor_scores, atom_cap_scores, signature_token_overlap, union_type_scores, scope_same_file, scope_cross_file,
+    p4_found, p4_summaries, name_likeness_pairs, property_name_pairs, size_band_pairs, exact_text_classes, property_jaccard_pairs, parameter_subset_pairs,
+    edit_likeness_scores, short_factor_scores, atom_cap_scores, signature_token_overlap, union_type_scores, scope_same_file, scope_cross_file,
     contained_overlaps_dropped, subtree_hash_multiplicity, report_counts, type_units_similar, class_units_similar, files_units, *map(_mode, ("functions", "types", "classes", "overlap")),
 ]
 QUERIES = {f.__name__: f for f in _ALL}
@@ -220,7 +220,7 @@ having count(distinct pair_id) >= 0.03 * (select count(distinct pair_id) from un
 select key_field, key_value, count(*) as n_rows, count(score) as n_scored, min(score) as min_score, max(score) as max_score,
        round(sum(score), 6) as sum_score, round(sum(score) / nullif(count(score), 0), 10) as mean_score
 from stacked where key_value is not null group by 1, 2""",
-    "name_similarity_pairs": """
+    "name_likeness_pairs": """
 with n as (select distinct name from type_units where name is not null and name <> ''),
 p as (select a.name as l, b.name as r, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) as s from n a join n b on a.name < b.name)
 select l, r, round(s, 6) as score from p where s >= 0.75""",
@@ -243,7 +243,7 @@ select l, r, round(s, 6) as score from p where s >= 0.5""",
     "parameter_subset_pairs": """
 with u as (select distinct unit_id, parameters as p, coalesce(class_name, '') as c from function_units where function_type = 'method' and len(parameters) > 1)
 select a.unit_id as l, b.unit_id as r from u a join u b on a.c = b.c and a.unit_id < b.unit_id where list_has_all(a.p, b.p) or list_has_all(b.p, a.p)""",
-    "edit_similarity_scores": """
+    "edit_likeness_scores": """
 with x as (select l_orderkey, l_linenumber, l_quantity as n1, l_linenumber * 7.0::double as n2, l_discount * 40 as extra from lineitem),
 y as (select *, round(abs(n1 - n2) + case when extra > 1 then extra else 0 end, 4) as d, greatest(n1, n2) as hi, least(n1, n2) as lo from x),
 z as (select *, d / hi as nd, lo / hi as r, greatest(0, 1 - d / hi) as base from y),

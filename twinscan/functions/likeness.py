@@ -1,4 +1,4 @@
-"""Similarity formulas as Column expressions: they stay in whole-stage code generation, without Python."""
+"""Likeness formulas as Column expressions: they stay in whole-stage code generation, without Python."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def property_name_similarity(a: Column, b: Column) -> Column:
+def property_name_likeness(a: Column, b: Column) -> Column:
     """1 for equal names, 0.95 for names equal but for case and outer blanks, else an edit ratio.
 
     The ratio divides by the longer name's UTF-8 bytes while the distance counts characters.
@@ -25,7 +25,7 @@ def property_name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(x == y, 0.95).otherwise(ratio)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
+def name_likeness(a: Column, b: Column) -> Column:
     """Case-sensitive edit ratio over characters; two empty names are equal."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
     return F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
@@ -42,8 +42,8 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2 * F.size(F.array_intersect(a, b)) / total)
 
 
-def union_type_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two unions' member arrays: Dice, scaled by 0.6 unless the members agree."""
+def union_type_likeness(a: Column, b: Column) -> Column:
+    """Likeness of two unions' member arrays: Dice, scaled by 0.6 unless the members agree."""
     d = dice(a, b)
     return F.when(d >= 1, 1.0).otherwise(d * 0.6)
 
@@ -60,20 +60,20 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / both)
 
 
-def base_similarity(distance: Column, n1: Column, n2: Column) -> Column:
+def base_likeness(distance: Column, n1: Column, n2: Column) -> Column:
     """1 - distance over the larger size, not below 0; 1 for two empty trees."""
     most = F.greatest(n1, n2)
     return F.when(most == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - distance / most))
 
 
-def edit_similarity(distance: Column, n1: Column, n2: Column, size_penalty: bool = True) -> Column:
-    """Tree-edit similarity from a distance and both sizes, with the penalties for small and uneven trees."""
+def edit_likeness(distance: Column, n1: Column, n2: Column, size_penalty: bool = True) -> Column:
+    """Tree-edit likeness from a distance and both sizes, with the penalties for small and uneven trees."""
     d, n1, n2 = (_lit(c).cast("double") for c in (distance, n1, n2))
     most, least = F.greatest(n1, n2), F.least(n1, n2)
     part = F.when(most > 0, d / most).otherwise(0.0)
     ratio = F.when(most > 0, least / most).otherwise(1.0)
     gap = most - least
-    s = base_similarity(d, n1, n2)
+    s = base_likeness(d, n1, n2)
     # Reached only with edit costs under one per node: no distance although the sizes differ.
     free = (d == 0) & (gap > 0)
     s = F.when(free & (gap > 10), s * 0.5).when(free & ((ratio < 0.95) | (gap > 3)), s * F.sqrt(ratio)).otherwise(s)
@@ -127,15 +127,15 @@ def impact(lines1: Column, lines2: Column) -> Column:
 
 
 def type_structure(quality_sum: Column, matched: Column, p1: Column, p2: Column, names: Column) -> Column:
-    """Structural similarity of two types: mean match quality times coverage.
+    """Structural likeness of two types: mean match quality times coverage.
 
-    Two types without properties get 0.6 + 0.4 of their names' similarity, one without gets 0.
+    Two types without properties get 0.6 + 0.4 of their names' likeness, one without gets 0.
     """
     return F.when((p1 == 0) & (p2 == 0), 0.6 + 0.4 * names).when((p1 == 0) | (p2 == 0) | (matched == 0), 0.0).otherwise(quality_sum / matched * (2 * matched / (p1 + p2)))
 
 
 def type_naming(name_sum: Column, matched: Column, names: Column) -> Column:
-    """Naming similarity of two types: 0.8 of the matched properties' mean, 0.2 of the type names'."""
+    """Naming likeness of two types: 0.8 of the matched properties' mean, 0.2 of the type names'."""
     return F.when(matched == 0, names).otherwise(0.8 * name_sum / matched + 0.2 * names)
 
 

@@ -1,4 +1,4 @@
-"""Type annotations as text: one normal form, and the similarity of two annotations.
+"""Type annotations as text: one normal form, and the likeness of two annotations.
 
 The functions are pure and cached: a corpus has far fewer distinct annotations than properties.
 """
@@ -121,8 +121,8 @@ def _edit_ratio(a: str, b: str) -> float:
 
 
 @lru_cache(maxsize=200_000)
-def type_similarity(a: str, b: str) -> float:
-    """Similarity of two annotations; differences of contract weigh more than differences of spelling.
+def type_likeness(a: str, b: str) -> float:
+    """Likeness of two annotations; differences of contract weigh more than differences of spelling.
 
     Equal 1. Unions 0.6 of their members' Dice, intersections Dice. Functions 0.35 parameters + 0.65
     result (0.3 for other arity), one function alone 0.15. Arrays by their elements, one alone 0.2. Generics of
@@ -140,28 +140,28 @@ def type_similarity(a: str, b: str) -> float:
     f, g = arrow(a), arrow(b)
     if f and g:
         x, y = parts(f[0], ","), parts(g[0], ",")
-        same = 1.0 if f[0] == g[0] else sum(map(type_similarity, x, y)) / len(x) if len(x) == len(y) else 0.3
-        return min(1.0, 0.35 * same + 0.65 * type_similarity(f[1], g[1]))
+        same = 1.0 if f[0] == g[0] else sum(map(type_likeness, x, y)) / len(x) if len(x) == len(y) else 0.3
+        return min(1.0, 0.35 * same + 0.65 * type_likeness(f[1], g[1]))
     if f or g:
         return 0.15
     x, y = element(a), element(b)
     if x and y:
-        return type_similarity(unwrapped(x), unwrapped(y))
+        return type_likeness(unwrapped(x), unwrapped(y))
     if x or y:
         return 0.2
     p, q = generic(a), generic(b)
     if p and q and p[0] == q[0] and len(p[1]) == len(q[1]):
         if len(p[1]) > 1 and p[1] != q[1] and sorted(p[1]) == sorted(q[1]):
             return 0.25
-        return 0.35 + 0.4 * sum(map(type_similarity, p[1], q[1])) / max(1, len(p[1]))
+        return 0.35 + 0.4 * sum(map(type_likeness, p[1], q[1])) / max(1, len(p[1]))
     if p or q or (_WORD.match(a) and _WORD.match(b)):
         return 0.2
     return _edit_ratio(a, b)
 
 
 @lru_cache(maxsize=100_000)
-def property_similarity(a: str, b: str) -> float:
-    """Scalar twin of ``similarity.property_name_similarity``."""
+def property_likeness(a: str, b: str) -> float:
+    """Scalar twin of ``likeness.property_name_likeness``."""
     if a == b:
         return 1.0
     x, y = a.lower().strip(), b.lower().strip()
@@ -169,8 +169,8 @@ def property_similarity(a: str, b: str) -> float:
 
 
 @lru_cache(maxsize=200_000)
-def plain_similarity(a: str, b: str) -> float:
-    """Scalar twin of ``similarity.name_similarity``."""
+def plain_likeness(a: str, b: str) -> float:
+    """Scalar twin of ``likeness.name_likeness``."""
     return 1.0 if a == b else 1 - levenshtein(a, b) / max(len(a), len(b))
 
 
@@ -205,6 +205,6 @@ def _pieces(text: str) -> list[str]:
 
 @lru_cache(maxsize=200_000)
 def overlap_of_words(a: str, b: str) -> float:
-    """Scalar twin of ``similarity.token_overlap``."""
+    """Scalar twin of ``likeness.token_overlap``."""
     x, y = set(re.findall("[A-Za-z]+", a)), set(re.findall("[A-Za-z]+", b))
     return len(x & y) / len(x | y) if x | y else 1.0

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscan.functions import similarity as S
-from twinscan.functions.type_text import class_type, loose_signature, overlap_of_words, placeholders, plain_similarity
+from twinscan.functions import likeness as S
+from twinscan.functions.type_text import class_type, loose_signature, overlap_of_words, placeholders, plain_likeness
 from twinscan.operators.pairs import band_pairs, scope_condition, spread
 from twinscan.plans.scratch import cut
 
@@ -34,7 +34,7 @@ def methods(rows) -> dict[str, tuple]:
 
 
 def length_bound(a: str, b: str) -> float:
-    """What the similarity of two names cannot exceed, by their lengths."""
+    """What the likeness of two names cannot exceed, by their lengths."""
     longest = max(len(a), len(b))
     return min(len(a), len(b)) / longest if longest else 1.0
 
@@ -59,7 +59,7 @@ def field_credit(a: dict, b: dict) -> float:
             scale = 1.0 if static == other else 0.4
             if t != u or (0.8 + 0.2 * length_bound(n, m)) * scale <= max(top, 0.7 - 1e-9):
                 continue
-            score = (0.8 + 0.2 * plain_similarity(n, m)) * scale
+            score = (0.8 + 0.2 * plain_likeness(n, m)) * scale
             if score > top:
                 best, top = m, score
         if best is not None and top >= 0.7:
@@ -89,7 +89,7 @@ def method_credit(a: dict, b: dict) -> float:
             twin = sign >= 0.85 and a[n][4] is not None and a[n][4] == other[4]
             if not twin and 0.6 * sign + 0.4 * length_bound(n, m) <= max(top, 0.65 - 1e-9):
                 continue
-            score = 0.6 * sign + 0.4 * plain_similarity(n, m)
+            score = 0.6 * sign + 0.4 * plain_likeness(n, m)
             if twin:
                 score = max(score, 0.95)
             if score > top:
@@ -152,5 +152,5 @@ def similar_classes(units: DataFrame, threshold: float = 0.8, scope: str = "all"
     out = credit.join(info.toDF("l", "lname", "lext", "limp"), "l").join(info.toDF("r", "rname", "rext", "rimp"), "r")
     heritage = F.col("lext").eqNullSafe(F.col("rext")) & (F.col("limp") == F.col("rimp"))
     structure = F.when(F.col("members") > 0, F.least(F.lit(1.0), F.col("credit") / F.col("members"))).when(heritage, 0.85).otherwise(0.3)
-    out = out.withColumns({"structural_score": structure, "naming_score": S.name_similarity(F.col("lname"), F.col("rname"))})
+    out = out.withColumns({"structural_score": structure, "naming_score": S.name_likeness(F.col("lname"), F.col("rname"))})
     return out.withColumn("score", S.weighted(F.col("structural_score"), F.col("naming_score"))).where(F.col("score") >= threshold).select("l", "r", "score", "structural_score", "naming_score")

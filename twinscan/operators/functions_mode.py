@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscan.functions import similarity as S
+from twinscan.functions import likeness as S
 from twinscan.operators.edit_distance import BEYOND, Flat, distance
 from twinscan.operators.pairs import band_pairs, scope_condition, spread, subset_pairs
 from twinscan.plans.scratch import cut
@@ -116,7 +116,7 @@ def similar_functions(units: DataFrame, threshold: float = 0.8, scope: str = "al
     known = pairs.mapInPandas(lambda it: _compared(it, threshold), INPUTS)
     none = F.lit(0)
     alike = trees.select(F.col("tree_hash").alias("l"), F.col("tree_hash").alias("r"), F.col("n").alias("n1"), F.col("n").alias("n2"), F.lit(0.0).alias("d"), F.lit(False).alias("control"), none.alias("missing1"), none.alias("missing2"), F.lit(False).alias("permuted"))
-    known = known.unionByName(alike).withColumn("s", S.edit_similarity(F.col("d"), F.col("n1"), F.col("n2"), size_penalty))
+    known = known.unionByName(alike).withColumn("s", S.edit_likeness(F.col("d"), F.col("n1"), F.col("n2"), size_penalty))
     # Written, or the threshold below would be pushed into the formula and outgrow what one method can hold.
     known = cut(known.drop("d", "n1", "n2"), "compared")
     a, b = members.select(F.struct("*").alias("a"), F.col("tree_hash").alias("l")), members.select(F.struct("*").alias("b"), F.col("tree_hash").alias("r"))

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscan.functions import similarity as S
-from twinscan.functions.type_text import normal_type, parts, property_similarity, type_similarity
+from twinscan.functions import likeness as S
+from twinscan.functions.type_text import normal_type, parts, property_likeness, type_likeness
 from twinscan.operators.pairs import overlap_pairs, scope_condition, spread
 from twinscan.plans.scratch import cut
 
@@ -39,9 +39,9 @@ def shape(properties: list[tuple[str, str, bool]]) -> tuple[list[str], list[str]
 
 
 def matches(a: tuple, b: tuple) -> list[tuple[str, str, float, float]]:
-    """Matched properties as (name, name, name similarity, quality).
+    """Matched properties as (name, name, name likeness, quality).
 
-    Equal names first, by type similarity; then leftovers of equal type, each in order of name with the most
+    Equal names first, by type likeness; then leftovers of equal type, each in order of name with the most
     similar name still free, at 0.95. Index signatures match by name only. Unequal optionality halves.
     """
     n1, t1, o1 = a
@@ -51,16 +51,16 @@ def matches(a: tuple, b: tuple) -> list[tuple[str, str, float, float]]:
     for n, t, o in zip(n1, t1, o1):
         if n in other:
             t2, o2 = free.pop(n)
-            out.append((n, n, 1.0, type_similarity(t, t2) * (1.0 if o == o2 else 0.5)))
+            out.append((n, n, 1.0, type_likeness(t, t2) * (1.0 if o == o2 else 0.5)))
         elif not n.startswith("["):
             left.append((n, t, o))
     free = {n: x for n, x in sorted(free.items()) if not n.startswith("[")}
     for n, t, o in left:
         alike = [m for m, (t2, _) in free.items() if t2 == t]
         if alike:
-            best = max(alike, key=lambda m: property_similarity(n, m))  # the first of equals
+            best = max(alike, key=lambda m: property_likeness(n, m))  # the first of equals
             o2 = free.pop(best)[1]
-            out.append((n, best, property_similarity(n, best), 0.95 * (1.0 if o == o2 else 0.5)))
+            out.append((n, best, property_likeness(n, best), 0.95 * (1.0 if o == o2 else 0.5)))
     return out
 
 
@@ -139,7 +139,7 @@ def similar_types(units: DataFrame, threshold: float = 0.8, scope: str = "all",
     n = shapes.select("uid", F.size("names").alias("p"))
     out = met.join(li, "l").join(ri, "r").join(n.toDF("l", "p1"), "l").join(n.toDF("r", "p2"), "r")
     out = out.where(scope_condition(scope, F.col("lfile"), F.col("rfile")) & ~((F.col("lfile") == F.col("rfile")) & (F.col("lname") == F.col("rname"))))
-    names = S.property_name_similarity(F.col("lname"), F.col("rname"))
+    names = S.property_name_likeness(F.col("lname"), F.col("rname"))
     structure = S.type_structure(F.col("quality_sum"), F.col("matched"), F.col("p1"), F.col("p2"), names)
     naming = S.type_naming(F.col("name_sum"), F.col("matched"), names)
     if not allow_cross_kind:
@@ -180,12 +180,12 @@ def _all_pairs(sizes: DataFrame) -> DataFrame:
 
 
 def _bare_pairs(bare: DataFrame, threshold: float) -> DataFrame:
-    """Types without properties: the score is 0.51 + 0.49 of the names' similarity."""
+    """Types without properties: the score is 0.51 + 0.49 of the names' likeness."""
     from twinscan.operators.pairs import band_pairs
 
     need = min(1.0, max(0.0, (threshold - 0.51) / 0.49))
     rows = bare.select("uid", "name", F.octet_length("name").alias("n"))
-    close = S.property_name_similarity(F.col("l.name"), F.col("r.name")) >= need
+    close = S.property_name_likeness(F.col("l.name"), F.col("r.name")) >= need
     # Names equal but for blanks may differ in length, so only a loose band is safe.
     return band_pairs(rows, "uid", "n", need / 2, close).select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r"))
 

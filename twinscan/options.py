@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Mode names, file extensions and folders left out by default; the defaults of the options below likewise.
 MODES = ("functions", "types", "classes", "overlap")
 EXTENSIONS = ("ts", "tsx", "mts", "cts")
 EXCLUDES = ("node_modules/**", "dist/**", "coverage/**")

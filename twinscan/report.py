@@ -17,6 +17,8 @@ def _location(loc: dict) -> dict:
     return {"filePath": loc["file_path"], "startLine": loc["start_line"], "endLine": loc["end_line"], "symbolName": loc["symbol_name"], "kind": loc["kind"]}
 
 
+# Key names of the JSON report.
+SCORE_KEY = "similarity"
 _DETAILS = {"impact": "impact", "structural_score": "structuralSimilarity", "naming_score": "namingSimilarity", "node_count": "nodeCount", "node_type": "nodeType"}
 
 
@@ -26,7 +28,7 @@ def build(result: Analysis, files: list[str], skipped: list[str] = (), warnings:
     for r in result.ranked().collect():
         row = r.asDict(True)
         pairs.append(
-            {"mode": row["mode"], "similarity": row["score"], "left": _location(row["left_loc"]), "right": _location(row["right_loc"]), "details": {_DETAILS[k]: v for k, v in row["details"].items() if v is not None}}
+            {"mode": row["mode"], SCORE_KEY: row["score"], "left": _location(row["left_loc"]), "right": _location(row["right_loc"]), "details": {_DETAILS[k]: v for k, v in row["details"].items() if v is not None}}
         )
     failed = {r["file_path"]: r["error"] for r in result.skipped.collect()}
     # Only the function mode reports files that do not parse as skipped; otherwise they are a warning.
@@ -62,7 +64,7 @@ def as_text(report: dict, modes: tuple[str, ...]) -> str:
     out = [f"Files analyzed: {stats['fileCount']}", f"Similar pairs: {stats['pairCount']}", f"Elapsed: {stats['elapsedMs']} ms"]
     place = lambda x: f"{x['filePath']}:{x['startLine']}-{x['endLine']} {x['symbolName']}"
     for mode in modes:
-        rows = [("similarity", "left", "right"), *((f"{p['similarity']:.3f}", place(p["left"]), place(p["right"])) for p in report["byMode"][mode])]
+        rows = [("score", "left", "right"), *((f"{p[SCORE_KEY]:.3f}", place(p["left"]), place(p["right"])) for p in report["byMode"][mode])]
         out += ["", f"{mode} ({len(rows) - 1})"]
         if len(rows) > 1:
             widths = [max(len(r[i]) for r in rows) for i in range(3)]

@@ -14,7 +14,8 @@ from twinscan.ts.canon import canonical_tree, make
 from twinscan.ts.parse import Node, ParseError, parse
 from twinscan.ts.tree import Renderer, Tree, literal_tree
 
-_DIRECTIVE = "similarity-ignore"
+# Fixed value: the comment that takes a unit out of the comparison.
+DIRECTIVE = "similarity-ignore"
 _WORDS = re.compile(r"[\w$]+")
 _PLAIN = re.compile(r"[^\W\d]\w*\Z|[$_][\w$]*\Z|[^\W\d][\w$]*\Z")
 
@@ -42,7 +43,7 @@ def ignored(lines: list[str], start: int) -> bool:
         comment = inside or line.startswith(("//", "/*", "*/", "*")) or line.endswith("*/")
         if not comment:
             return False
-        if _DIRECTIVE in line:
+        if DIRECTIVE in line:
             return True
         if inside:
             inside = "/*" not in line
