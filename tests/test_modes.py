@@ -194,5 +194,40 @@ def test_weight_windows_equal_one_pass_per_size():
                     if weight >= size:
                         want.add((size, weight, tuple(x[3] for x in items[i : j + 1])))
                         break
-        got = {(size, w[2], tuple(x[3] for x in items[w[0] : w[1] + 1])) for w in weight_windows(items, 4, 8) for size in range(w[3], w[4] + 1)}
+        got = {(size, w[2], tuple(x[3] for x in items[w[0] : w[1] + 1])) for w in weight_windows([x[2] for x in items], 4, 8) for size in range(w[3], w[4] + 1)}
         assert got == want
+
+
+def test_function_candidates_equal_all_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tests.test_overlap import sources
+    from twinscan.operators import functions_mode as M
+    from twinscan.operators.extract import extract_units, with_uid
+
+    rows = list(sources().items()) + [("e.ts", "".join(f"function e{i}(a) {{\n{'  ;' * i}\n\n}}\n" for i in range(6)))]
+    units = with_uid(extract_units(spark.createDataFrame(rows, "file_path string, content string"), kinds=("function",), parts=False)).cache()
+    result = lambda t: {(r["l"], r["r"]): round(r["score"], 9) for r in M.similar_functions(units, t).collect()}
+    got = {t: result(t) for t in (0.5, 0.8, 0.9)}
+    every = lambda trees, threshold: M._with_trees(trees.select(F.col("tree_hash").alias("l")).join(trees.select(F.col("tree_hash").alias("r")), F.col("l") < F.col("r")), trees)
+    monkeypatch.setattr(M, "_candidates", every)
+    monkeypatch.setattr(M, "distance", lambda a, b, budget=None: distance(a, b))
+    assert got == {t: result(t) for t in got} and len(got[0.8]) > 5
+
+
+def test_one_text_raises_if_it_does_not_parse(spark):
+    from twinscan.operators.functions_mode import similar_functions_in_file
+    from twinscan.ts.parse import ParseError
+
+    twin = LOAD.replace("loadAccount", "again")
+    assert similar_functions_in_file(spark, "a.ts", LOAD + twin).count() == 1
+    with pytest.raises(ParseError):
+        similar_functions_in_file(spark, "a.ts", "function (")
+
+
+def test_labelled_corpus_has_no_errors(spark):
+    from twinscan.corpus import cases, verdicts
+
+    rows = verdicts(spark).collect()
+    assert len(rows) == len(list(cases())) > 150
+    assert [(r["case_id"], r["found"]) for r in rows if r["found"] != r["expected"]] == []

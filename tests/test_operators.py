@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from twinscan.functions import likeness as S
 from twinscan.functions.type_text import levenshtein, normal_type, overlap_of_words, plain_likeness, property_likeness, type_likeness
 from twinscan.operators.heavy_keys import heavy_keys, key_summaries
-from twinscan.operators.pairs import band_pairs, exact_classes, overlap_pairs, scope_condition, subset_pairs, without_contained
-from twinscan.operators.types_mode import differences, greedy_groups, matches, shape, similar_types
+from twinscan.operators.pairs import band_pairs, exact_classes, greedy_matching, overlap_pairs, salted_join, scope_condition, subset_pairs, without_contained
+from twinscan.operators.types_mode import differences, matches, shape, similar_type_literals, similar_types, type_groups, type_signatures
 
 ROWS = "id long, key string, other string, score double, key_field string, __id int, n_rows long"
 
@@ -116,7 +116,6 @@ def test_property_matching_rules():
     assert [(m[0], m[3]) for m in matches(a, c)] == [("id", 0.5)] and not matches(c, shape([("enabled", "boolean", False)]))
     d = differences(a, shape([("id", "number", False), ("extra", "Date", False)]))
     assert d == {"missing": ["mail", "name"], "extra": ["extra"], "types": [("id", "string", "number")], "optionality": []}
-    assert greedy_groups([(1, 2, 0.9), (2, 3, 0.95), (4, 5, 0.8), (1, 4, 0.7)]) == [(2, 3, 0.95), (4, 5, 0.8)]
 
 
 def test_similar_types_with_nulls_empties_and_threshold_zero(spark):
@@ -201,3 +200,71 @@ def test_type_literals_against_definitions_and_each_other(spark):
     df = spark.createDataFrame(rows, schema)
     assert {(r["literal"], r["definition"]) for r in similar_type_literals(df, 0.8).collect()} == {(2, 1), (3, 1)}
     assert {(r["l"], r["r"]) for r in similar_literal_pairs(df, 0.8).collect()} == {(2, 3), (2, 4), (3, 4)}
+
+
+def test_literals_ignore_names_and_directives_and_equal_the_nested_loop(spark):
+    from twinscan.functions import likeness
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        props = [(rng.choice("abcdef"), rng.choice(["string", "number", "Date", "string | undefined"]), rng.random() < 0.2, False) for _ in range(rng.randrange(0, 4))]
+        at = rng.randrange(1, 30)
+        rows.append((i, rng.choice("xy"), rng.choice(["User", "Users", "Row"]), rng.choice(["typeLiteral", "interface"]), rng.random() < 0.3, at, at + rng.randrange(0, 4), props))
+    schema = "uid long, file_path string, name string, kind string, has_ignore boolean, start_line int, end_line int, properties array<struct<name:string,type_annotation:string,optional:boolean,readonly:boolean>>"
+    df = spark.createDataFrame(rows, schema)
+
+    def score(a, b):
+        x, y = (shape([p[:3] for p in u[7]]) for u in (a, b))
+        met, names, n = matches(x, y), property_likeness(a[2], b[2]), len(x[0]) + len(y[0])
+        structure = 0.6 + 0.4 * names if n == 0 else 0.0 if not met or not x[0] or not y[0] else sum(m[3] for m in met) / len(met) * 2 * len(met) / n
+        return 0.85 * structure + 0.15 * (0.8 * sum(m[2] for m in met) / len(met) + 0.2 * names if met else names)
+
+    for threshold in (0.1, 0.6, 0.8):
+        want = {}
+        for a, b in itertools.combinations(rows, 2):
+            if (a[3] == b[3]) or (a[1] == b[1] and a[5] <= b[6] and b[5] <= a[6]):
+                continue
+            if score(a, b) >= threshold:
+                want[(a[0], b[0]) if a[3] == "typeLiteral" else (b[0], a[0])] = pytest.approx(score(a, b))
+        assert {(r["literal"], r["definition"]): r["score"] for r in similar_type_literals(df, threshold).collect()} == want
+        plain = [r for r in rows if not r[4]]
+        want = {(a[0], b[0]): pytest.approx(score(a, b)) for a, b in itertools.combinations(plain, 2) if (a[1], a[2]) != (b[1], b[2]) and score(a, b) >= threshold}
+        assert {(r["l"], r["r"]): r["score"] for r in similar_types(df, threshold).collect()} == want
+    assert likeness is S
+
+
+def test_matching_takes_the_best_pairs_first(spark):
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(120)})
+    rows = [(a, b, rng.choice([0.8, 0.9, 0.95])) for a, b in pairs]
+    want, used = set(), set()
+    for a, b, s in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if not {a, b} & used:
+            used |= {a, b}
+            want.add((a, b, s))
+    df = spark.createDataFrame(rows, "l long, r long, score double")
+    assert {tuple(r) for r in type_groups(df).collect()} == want
+    assert greedy_matching(df.limit(0)).count() == 0
+
+
+def test_type_signatures_and_class_differences(spark):
+    from twinscan.operators.classes_mode import class_differences, fields, methods
+
+    schema = "uid long, properties array<struct<name:string,type_annotation:string,optional:boolean,readonly:boolean>>"
+    df = spark.createDataFrame([(1, [("b", "Array<string>", False, True), ("a", "number | undefined", False, False)]), (2, None)], schema)
+    assert {r["uid"]: r["signature"] for r in type_signatures(df).collect()} == {1: "{ a?: number; readonly b: string[] }", 2: "{  }"}
+    f = lambda n, t: {"name": n, "type_annotation": t, "is_static": False}
+    m = lambda n, p, r: {"name": n, "parameters": p, "return_type": r, "is_static": False, "kind": "method", "body_fingerprint": None}
+    a = fields([f("id", "string"), f("rows", "Row[]"), f("gone", "Date")]), methods([m("load", ["k: string"], "void"), m("save", [], "void")])
+    b = fields([f("id", "number"), f("rowz", "Row[]"), f("new", "Map")]), methods([m("load", ["k: number"], "void"), m("store", ["x: string"], "Row")])
+    d = class_differences(a, b)
+    assert d["property_types"] == [("id", "string", "number")] and [x[0] for x in d["method_signatures"]] == ["load"]
+    assert (d["missing_properties"], d["extra_properties"]) == (["gone"], ["new"]) and d["missing_methods"] == ["save"] and d["extra_methods"] == ["store"]
+
+
+def test_salted_join_is_a_join(spark):
+    rows = [("hot" if i % 3 else f"k{i}", i) for i in range(90)]
+    a, b = spark.createDataFrame(rows, "k string, x int"), spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("none", 4)], "k string, y int")
+    for how in ("inner", "left"):
+        want = sorted((tuple(r) for r in a.join(b, "k", how).collect()), key=str)
+        assert sorted((tuple(r) for r in salted_join(a, b, ["k"], how, rows_per_salt=7).select("k", "x", "y").collect()), key=str) == want

@@ -39,8 +39,8 @@ def length_bound(a: str, b: str) -> float:
     return min(len(a), len(b)) / longest if longest else 1.0
 
 
-def field_credit(a: dict, b: dict) -> float:
-    """Credit of matched fields, 2 for a full match.
+def field_credit(a: dict, b: dict, renamed: list | None = None) -> float:
+    """Credit of matched fields, 2 for a full match; ``renamed`` takes the pairs of names matched beyond equal names.
 
     By name: 2 for equal types (class names aside), else 1.4, times 0.4 if only one is static. Leftovers in
     order of name take the best free partner by 0.8 type + 0.2 name (times 0.4 likewise) from 0.7 on.
@@ -65,6 +65,8 @@ def field_credit(a: dict, b: dict) -> float:
         if best is not None and top >= 0.7:
             credit += 2.0 * top
             del free[best]
+            if renamed is not None:
+                renamed.append((n, best))
     return credit
 
 
@@ -73,8 +75,8 @@ def _agreement(a: tuple, b: tuple) -> float:
     return bodies * (1.0 if a[2] == b[2] else 0.4) * (1.0 if a[3] == b[3] else 0.5)
 
 
-def method_credit(a: dict, b: dict) -> float:
-    """Credit of matched methods, 2 for a full match, times how far bodies, static and kind agree.
+def method_credit(a: dict, b: dict, renamed: list | None = None) -> float:
+    """Credit of matched methods, 2 for a full match, times how far bodies, static and kind agree; ``renamed`` as above.
 
     By name: 2 for equal signatures, exact or loose, else 1.4. Leftovers in order of name take the best free
     partner by 0.6 signature + 0.4 name from 0.65 on; equal bodies under agreeing signatures count 0.95.
@@ -97,16 +99,49 @@ def method_credit(a: dict, b: dict) -> float:
         if best is not None and top >= 0.65:
             credit += 2.0 * top * _agreement(a[n], free[best])
             del free[best]
+            if renamed is not None:
+                renamed.append((n, best))
     return credit
 
 
+def class_differences(a: tuple, b: tuple) -> dict[str, list]:
+    """What separates two classes, each given as (fields, methods): missing, extra and unequal members.
+
+    Unequal are fields and methods of one name that differ in type or signature, and methods of equal signatures
+    that differ in body, static or kind.
+    """
+    (f, m), (g, n) = a, b
+    moved: tuple[list, list] = ([], [])
+    field_credit(f, g, moved[0])
+    method_credit(m, n, moved[1])
+    alike = lambda x, y: x == y or placeholders(x) == placeholders(y)
+    same = lambda x, y: (x[0] == y[0] or x[1] == y[1]) and _agreement(x, y) == 1.0
+    out = {}
+    for what, x, y, renamed in (("properties", f, g, moved[0]), ("methods", m, n, moved[1])):
+        out[f"missing_{what}"] = sorted(set(x) - set(y) - {p for p, _ in renamed})
+        out[f"extra_{what}"] = sorted(set(y) - set(x) - {q for _, q in renamed})
+    out["property_types"] = [(k, f[k][0], g[k][0]) for k in sorted(f) if k in g and not alike(f[k][0], g[k][0])]
+    out["method_signatures"] = [(k, m[k][0], n[k][0]) for k in sorted(m) if k in n and not same(m[k], n[k])]
+    return out
+
+
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for uid, f, m in zip(batch["uid"], batch["properties"], batch["methods"]):
             f, m = fields(f), methods(m)
-            rows.append((uid, len(f), len(m), pickle.dumps((f, m))))
-        yield pd.DataFrame(rows, columns=["uid", "n_fields", "n_methods", "packed"])
+            rows.append((uid, len(f), len(m), list(f) + _numbered("t", (t for t, _ in f.values())), list(m) + _numbered("s", (x[1] for x in m.values())), pickle.dumps((f, m))))
+        yield pd.DataFrame(rows, columns=["uid", "n_fields", "n_methods", "of_fields", "of_methods", "packed"])
+
+
+def _numbered(mark: str, values: Iterator[str]) -> list[str]:
+    """The values with the number of their occurrence: what two multisets share is what these share."""
+    seen: dict[str, int] = {}
+    out = []
+    for v in values:
+        seen[v] = seen.get(v, 0) + 1
+        out.append(f"{mark}\0{v}\0{seen[v]}")
+    return out
 
 
 def _credits(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
@@ -139,14 +174,20 @@ def similar_classes(units: DataFrame, threshold: float = 0.8, scope: str = "all"
     id_type = units.schema["uid"].dataType.simpleString()
     rows = units.select("uid", "file_path", F.coalesce("name", F.lit("")).alias("name"), "extends_name", F.coalesce("implements_names", F.array().cast("array<string>")).alias("implements_names"), "properties", "methods")
     # Normalised and packed once a class: a pair then moves two byte strings, and a task unpacks each class once a batch.
-    packed = cut(rows.select("uid", "properties", "methods").mapInPandas(_packed, f"uid {id_type}, n_fields int, n_methods int, packed binary"), "classes")
-    sized = packed.drop("packed").join(rows.select("uid", "file_path"), "uid").withColumn("n", F.col("n_fields") + F.col("n_methods"))
+    packed = cut(rows.select("uid", "properties", "methods").mapInPandas(_packed, f"uid {id_type}, n_fields int, n_methods int, of_fields array<string>, of_methods array<string>, packed binary"), "classes")
+    sized = packed.select("uid", "n_fields", "n_methods").join(rows.select("uid", "file_path"), "uid").withColumn("n", F.col("n_fields") + F.col("n_methods"))
     # Fields match fields and methods methods, two of credit for each match at most.
     enough = 2 * (F.least("l.n_fields", "r.n_fields") + F.least("l.n_methods", "r.n_methods")) >= least * (F.col("l.n") + F.col("r.n")) - 1e-9
     pairs = band_pairs(sized, "uid", "n", least / (2 - least), scope_condition(scope, F.col("l.file_path"), F.col("r.file_path")) & enough)
     pairs = spread(pairs.select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r")))
-    a, b = packed.select(F.col("uid").alias("l"), F.col("packed").alias("a")), packed.select(F.col("uid").alias("r"), F.col("packed").alias("b"))
-    slim = pairs.join(a, "l").join(b, "r").select("l", "r", "a", "b")
+    a, b = packed.select(F.col("uid").alias("l"), F.struct("*").alias("x")), packed.select(F.col("uid").alias("r"), F.struct("*").alias("y"))
+    met = pairs.join(a, "l").join(b, "r")
+    # A field match shares its name or its type; so does a method match its name or signature, or it is worth 0.88 at most.
+    few, most = F.least("x.n_fields", "y.n_fields"), F.least("x.n_methods", "y.n_methods")
+    sure = F.least(most, F.size(F.array_intersect("x.of_methods", "y.of_methods")))
+    bound = 2 * F.least(few, F.size(F.array_intersect("x.of_fields", "y.of_fields"))) + 2 * sure + 1.76 * (most - sure)
+    total = F.col("x.n_fields") + F.col("y.n_fields") + F.col("x.n_methods") + F.col("y.n_methods")
+    slim = met.where(bound >= least * total - 1e-9).select("l", "r", F.col("x.packed").alias("a"), F.col("y.packed").alias("b"))
     credit = slim.mapInPandas(lambda it: _credits(it, least), CREDIT.format(id=id_type))
     info = rows.select("uid", "name", "extends_name", "implements_names")
     out = credit.join(info.toDF("l", "lname", "lext", "limp"), "l").join(info.toDF("r", "rname", "rext", "rimp"), "r")

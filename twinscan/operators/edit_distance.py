@@ -2,7 +2,7 @@
 
 A node pair costs the cheaper of replacing the whole subtree and of renaming the root plus the best ordered
 alignment of the children, where a skipped child costs its whole subtree. Equal subtrees cost nothing and are
-recognised by hash, so twins with one change touch only the path to it.
+recognised by hash, so twins with one change touch only the path to it. A budget bounds every alignment within.
 """
 
 from __future__ import annotations
@@ -70,31 +70,48 @@ def distance(a: Flat, b: Flat, budget: float | None = None, delete: float = 1.0,
         return d if budget is None or d <= budget else BEYOND
     if budget is not None and delete >= 1 and insert >= 1 and rename >= 0.3 and not flat and lower_bound(a, b) > budget:
         return BEYOND
-    memo: dict[tuple[int, int], float] = {}
+    memo: dict[tuple[int, int], tuple[float, bool]] = {}
     swap = delete + insert
+    slack = 1e-9
 
-    def pair(i: int, j: int) -> float:
+    def pair(i: int, j: int, limit: float) -> float:
+        """The cost if it is at most ``limit``, else a bound above the limit: what exceeds it is not worked out."""
         if a.key[i] == b.key[j]:
             return 0.0
-        if (i, j) in memo:
-            return memo[i, j]
+        known = memo.get((i, j))
+        if known is not None and (known[1] or known[0] > limit):
+            return known[0]
+        gap = a.size[i] - b.size[j]
+        gap = gap * delete if gap > 0 else -gap * insert
+        if gap > limit:
+            return gap
         cost = rename_cost(a.labels[i], a.kinds[i], b.labels[j], b.kinds[j], rename, swap, flat)
+        exact = True
         p, q = a.children[i], b.children[j]
         if p or q:
+            whole = delete * a.size[i] + insert * b.size[j]
+            most = min(limit, whole) - cost + slack  # a dearer alignment decides nothing
             row = [0.0]
             for y in q:
                 row.append(row[-1] + insert * b.size[y])
+            least = row[0]
             for x in p:
                 gone, diagonal = delete * a.size[x], row[0]
                 row[0] += gone
                 for k, y in enumerate(q, 1):
                     best = min(row[k] + gone, row[k - 1] + insert * b.size[y])
-                    if diagonal < best:
-                        best = min(best, diagonal + pair(x, y))
+                    room = min(best, most) - diagonal
+                    if room > 0:
+                        best = min(best, diagonal + pair(x, y, room))
                     diagonal, row[k] = row[k], best
-            cost = min(cost + row[-1], delete * a.size[i] + insert * b.size[j])
-        memo[i, j] = cost
+                least = min(row)
+                if least > most:
+                    break
+            aligned = max(row[-1], least)
+            exact = aligned <= most or whole <= limit
+            cost = min(cost + aligned, whole)
+        memo[i, j] = cost, exact
         return cost
 
-    d = pair(0, 0)
+    d = pair(0, 0, float("inf") if budget is None else budget)
     return d if budget is None or d <= budget else BEYOND

@@ -6,13 +6,15 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscan.functions import likeness as S
 from twinscan.operators.edit_distance import BEYOND, Flat, distance
+from twinscan.operators.extract import extract_units, with_uid
 from twinscan.operators.pairs import band_pairs, scope_condition, spread, subset_pairs
 from twinscan.plans.scratch import cut
+from twinscan.ts.parse import ParseError
 
 INPUTS = "l string, r string, n1 int, n2 int, d double, control boolean, missing1 int, missing2 int, permuted boolean"
 
@@ -79,9 +81,7 @@ def _candidates(trees: DataFrame, threshold: float) -> DataFrame:
         return _with_trees(near.select(F.col("l.tree_hash").alias("l"), F.col("r.tree_hash").alias("r")), trees)
     counted = F.flatten(F.transform(F.map_entries("counted_atoms"), lambda e: F.transform(F.sequence(F.lit(1), e["value"]), lambda i: F.concat(F.lit("#"), e["key"], F.lit("#"), i.cast("string")))))
     sets = trees.select(F.col("tree_hash").alias("uid"), F.concat("value_atoms", counted).alias("tokens"), F.array_join(F.array_sort("control_atoms"), " ").alias("control"), "n")
-    ratio = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
-    found = subset_pairs(sets, ["control"], ratio)
-    return _with_trees(found, trees)
+    return _with_trees(subset_pairs(sets, ["control"], "n", threshold), trees)
 
 
 def _with_trees(pairs: DataFrame, trees: DataFrame) -> DataFrame:
@@ -131,3 +131,13 @@ def similar_functions(units: DataFrame, threshold: float = 0.8, scope: str = "al
     out = out.withColumn("s", S.atom_cap(F.col("s"), F.col("control"), F.col("missing1"), F.col("missing2")))
     score = F.when((F.col("s") >= 0.8) & F.col("permuted"), F.col("s") * 0.85).otherwise(F.col("s"))
     return out.select("l", "r", score.alias("score"), S.impact(F.col("lines1"), F.col("lines2")).alias("impact")).where(F.col("score") >= threshold)
+
+
+def similar_functions_in_file(spark: SparkSession, path: str, text: str, threshold: float = 0.8, **options) -> DataFrame:
+    """Pairs of functions of one text: l, r (uid), score, impact; raises ``ParseError`` if it does not parse."""
+    files = spark.createDataFrame([(path, text)], "file_path string, content string")
+    units = cut(with_uid(extract_units(files, kinds=("function",), parts=False)), "units")
+    failed = units.where("unit_kind = 'error'").select("error").first()  # at most one row: there is one file
+    if failed:
+        raise ParseError(failed["error"])
+    return similar_functions(units, threshold, "same_file", **options)

@@ -27,17 +27,17 @@ WINDOW = "key long, uid {id}, start_line int, end_line int, weight int, low int,
 EPS = 1e-9
 
 
-def weight_windows(items: list[tuple], low: int, high: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Windows over (start, end, weight, ...) items in order of start: for each first item and each size from
-    ``low`` to ``high``, the shortest run that weighs at least the size.
+def weight_windows(weights: list[int], low: int, high: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Windows over items in order of their start: for each first item and each size from ``low`` to ``high``, the
+    shortest run that weighs at least the size.
 
     Yields (first item, last item, weight, least size served, greatest size served). Items of all depths take
     part, so a parent and its children both add weight.
     """
-    for i in range(len(items)):
+    for i in range(len(weights)):
         weight, served = 0, low - 1
-        for j in range(i, len(items)):
-            weight += items[j][2]
+        for j in range(i, len(weights)):
+            weight += weights[j]
             if weight > served:
                 yield i, j, weight, served + 1, min(weight, high)
                 served = weight
@@ -48,28 +48,46 @@ def weight_windows(items: list[tuple], low: int, high: int) -> Iterator[tuple[in
 def _windows(batches: Iterator[pd.DataFrame], low: int, high: int, threshold: float) -> Iterator[pd.DataFrame]:
     """Windows that may reach the threshold; a batch gives the hashes of equal windows once."""
     names = [x.split()[0] for x in WINDOW.split(", ")]
+    need = [max(1, math.ceil(threshold * m - EPS)) for m in range(high + 2)]  # by distinct hashes; a window has no more than ``high`` items
     for batch in batches:
         rows, known = [], set()
-        for uid, trees in zip(batch["uid"], batch["items"]):
-            items = sorted(((t["start_line"], t["end_line"], t["weight"], t["hash"], t["df"] or 0, t["indexed"] or 0) for t in sorted(trees, key=lambda t: t["pos"])), key=lambda x: x[0])
-            rank = {h: (df, h) for _, _, _, h, df, _ in items}
-            indexed = {h for _, _, _, h, _, n in items if n}
-            for i, j, weight, least, most in weight_windows(items, low, high):
-                hashes = [x[3] for x in items[i : j + 1]]
-                distinct = set(hashes)
-                need = max(1, math.ceil(threshold * len(distinct) - EPS))
-                prefix = [h for h in sorted(distinct, key=rank.__getitem__)[: len(distinct) - need + 1] if h in indexed]
-                if not prefix:
+        for uid, first, last, weights, hashes, frequency, indexed in zip(*(batch[c] for c in ("uid", "first", "last", "weights", "hashes", "df", "indexed"))):
+            own, place = np.unique(hashes, return_inverse=True)
+            df, usable = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+            df[place], usable[place] = frequency, np.asarray(indexed) > 0
+            order = np.lexsort((own, df))  # rarest first, as the subtrees' hashes are ranked
+            rank = np.empty(len(own), np.int64)
+            rank[order] = np.arange(len(own))
+            ranks, usable, unheld = rank[place].tolist(), usable[order].tolist(), int((df == 0).sum())  # ranks below ``unheld`` are in no subtree
+            at, upto, seen, missing = -1, -1, set(), 0
+            for i, j, weight, least, most in weight_windows(weights.tolist(), low, high):
+                if i != at:
+                    at, upto, seen, missing = i, i - 1, set(), 0
+                for r in ranks[upto + 1 : j + 1]:
+                    if r not in seen:
+                        seen.add(r)
+                        missing += r < unheld
+                upto = j
+                spare = len(seen) - need[len(seen)]
+                if missing > spare or not any(usable[r] for r in sorted(seen)[: spare + 1]):
                     continue
-                hashes.sort()
-                digest = blake2b(np.array([least, most, *hashes], np.int64).tobytes(), digest_size=8).digest()
+                held = sorted(hashes[i : j + 1].tolist())
+                digest = blake2b(np.array([least, most, *held], np.int64).tobytes(), digest_size=8).digest()
                 key = int.from_bytes(digest, "little", signed=True)
-                first = key not in known
+                new = key not in known
                 known.add(key)
-                rows.append((key, uid, items[i][0], items[j][1], weight, least, most, hashes if first else None, prefix if first else None))
+                prefix = [int(own[order[r]]) for r in sorted(seen)[: spare + 1] if usable[r]] if new else None
+                rows.append((key, uid, first[i], last[j], weight, least, most, held if new else None, prefix))
         yield pd.DataFrame(rows, columns=names)
 
 
+def _items(natural: DataFrame, df: Column, indexed: Column) -> DataFrame:
+    """The subtrees of every function (bounded by its text) as arrays in order of start and place, for ``_windows``."""
+    rows = natural.select("uid", F.struct("start_line", "pos", "end_line", "weight", "hash", df.cast("long").alias("df"), indexed.cast("long").alias("indexed")).alias("t"))
+    rows = rows.groupBy("uid").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return rows.select("uid", *(F.col(f"t.{a}").alias(b) for a, b in (("start_line", "first"), ("end_line", "last"), ("weight", "weights"), ("hash", "hashes"), ("df", "df"), ("indexed", "indexed"))))
+
+
 def shared_parts(parts: DataFrame, key: str = "hash", uid: str = "uid") -> DataFrame:
     """Pairs of parts of equal ``key`` in two units: l and r (all columns of the part), l's unit before r's.
 
@@ -101,9 +119,10 @@ def _loose(natural: DataFrame, id_type: str, threshold: float, low: int, high: i
     index = cut(ranked.where(F.col("place") <= F.col("n") - need + 1).select("token", "hash", "n"), "index")
     known = frequency.join(index.groupBy("token").agg(F.count(F.lit(1)).alias("indexed")), "token", "left")
 
-    items = salted_join(natural.select("uid", "pos", "start_line", "end_line", "weight", F.col("hash").alias("token")), known, ["token"], "left")
-    items = items.groupBy("uid").agg(F.collect_list(F.struct("pos", "start_line", "end_line", "weight", F.col("token").alias("hash"), "df", "indexed")).alias("items"))  # of one function
-    windows = cut(spread(items).mapInPandas(lambda it: _windows(it, low, high, threshold), WINDOW.format(id=id_type)), "windows")
+    items = natural.select("uid", "pos", "start_line", "end_line", "weight", "hash").join(known.withColumnRenamed("token", "hash"), "hash", "left")
+    items = _items(items, F.coalesce("df", F.lit(0)), F.coalesce("indexed", F.lit(0)))
+    schema = WINDOW.format(id=id_type)
+    windows = cut(spread(items).mapInPandas(lambda it: _windows(it, low, high, threshold), schema), "windows")
 
     classes = windows.where("hashes is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("weight", "low", "high", "hashes", "prefix")))
     w = classes.select("key", "weight", "low", "high", F.size(F.array_distinct("hashes")).alias("m"), F.explode("prefix").alias("token"))
@@ -117,14 +136,14 @@ def _loose(natural: DataFrame, id_type: str, threshold: float, low: int, high: i
     met = met.join(classes.select("key", "weight", "hashes"), "key").join(shapes, "hash").where(enough & (S.jaccard(x, y) >= threshold))
     met = cut(met.select("key", "hash", S.jaccard(x, y).alias("score")), "matches")
 
-    left = salted_join(windows.select("key", F.col("uid").alias("l"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"), F.col("weight").alias("node_count")), met, ["key"])
+    # A window class meets few subtrees, so adaptive execution can split the windows of a hot one.
+    left = windows.select("key", F.col("uid").alias("l"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"), F.col("weight").alias("node_count")).join(met, "key")
     right = targets.select("hash", F.col("uid").alias("r"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"), "node_type").distinct()
     columns = ["l", "r", "score", "s1", "e1", "s2", "e2", "node_count", "node_type"]
     out = salted_join(left.distinct(), right, ["hash"]).where("l < r").select(columns)
     if childless:
         leaves = targets.where(F.size("child_hashes") == 0).select(F.col("weight").alias("tw"), F.col("uid").alias("r"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"), "node_type").distinct()
-        every = natural.groupBy("uid").agg(F.collect_list(F.struct("pos", "start_line", "end_line", "weight", "hash", F.lit(1).alias("df"), F.lit(1).alias("indexed"))).alias("items"))
-        every = every.mapInPandas(lambda it: _windows(it, low, high, 0.0), WINDOW.format(id=id_type)).where(F.col("weight") <= 1 + tolerance)
+        every = _items(natural, F.lit(1), F.lit(1)).mapInPandas(lambda it: _windows(it, low, high, 0.0), schema).where(F.col("weight") <= 1 + tolerance)
         every = every.select(F.col("uid").alias("l"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"), F.col("weight").alias("node_count"), F.col("low"), F.col("high"), F.lit(1).alias("tw")).distinct()
         fits = (F.col("tw") >= F.floor(F.col("low") * (1 - tolerance))) & (F.col("tw") <= F.floor(F.col("high") * (1 + tolerance))) & (F.col("node_count") / F.col("tw")).between(1 - tolerance, 1 + tolerance)
         both = salted_join(every, leaves, ["tw"]).where(fits & (F.col("l") < F.col("r"))).withColumn("score", F.lit(0.5))

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinscan.plans.scratch import cut, release
+
 SCOPES = ("all", "same_file", "cross_file")
 
 
@@ -76,24 +78,27 @@ def band_pairs(units: DataFrame, uid: str, size: str, ratio: float, extra: Colum
         r = rows.select(F.col("u").alias("r"), F.lit(0).alias("__b"), *names)
     a, b = F.col(f"l.{size}"), F.col(f"r.{size}")
     cond = (F.col(f"l.{uid}") < F.col(f"r.{uid}")) & (F.least(a, b) >= F.lit(ratio) * F.greatest(a, b))
-    return l.join(r, ["__b", *names]).where(cond & extra if extra is not None else cond).select("l", "r")
+    return salted_join(l, r, ["__b", *names]).where(cond & extra if extra is not None else cond).select("l", "r")
 
 
-def overlap_pairs(tokens: DataFrame, sizes: DataFrame, least_share: float) -> DataFrame:
+def overlap_pairs(tokens: DataFrame, sizes: DataFrame, least_share: float, least_ratio: float | None = None, residual: Column | None = None) -> DataFrame:
     """Pairs (l, r) of unit ids, l < r, that may share ``least_share`` of their mean token count.
 
-    ``tokens``(uid, token) holds each unit's distinct tokens, ``sizes``(uid, n) their number. If two units
-    share at least k tokens, each has one of them among its n - k + 1 rarest; the bound on k uses the smallest
-    partner the share allows. Rare tokens are the join keys, so frequent ones rarely meet.
+    ``tokens``(uid, token) holds each unit's distinct tokens, ``sizes``(uid, n, other columns) their number. If two
+    units share at least k tokens, each has one of them among its n - k + 1 rarest; the bound on k uses the smallest
+    partner the share allows, or ``least_ratio`` of sizes where the caller knows a better one. Rare tokens are the
+    join keys, so frequent ones rarely meet, and hot ones are split. ``residual`` is a condition over l.* and r.* (uid and
+    the columns of ``sizes``).
     """
+    ratio = max(least_share / (2 - least_share), least_ratio or 0.0)
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    smallest = F.col("n") * least_share / (2 - least_share)
-    need = F.ceil(least_share * (F.col("n") + smallest) / 2 - 1e-9)
+    need = F.ceil(least_share * (F.col("n") + F.col("n") * ratio) / 2 - 1e-9)
     ranked = tokens.join(frequency, "token").join(sizes, "uid").withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy("df", "token")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.greatest(need, F.lit(1)) + 1).select("uid", "token", "n")
-    l, r = prefix.alias("l"), prefix.alias("r")
-    ratio = F.least("l.n", "r.n") >= F.lit(least_share) / (2 - least_share) * F.greatest("l.n", "r.n") - 1e-9
-    return l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.uid") < F.col("r.uid")) & ratio).select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r")).distinct()
+    prefix = cut(ranked.where(F.col("rank") <= F.col("n") - F.greatest(need, F.lit(1)) + 1).select("token", F.struct("uid", *(c for c in sizes.columns if c != "uid")).alias("u")), "prefix")
+    met = salted_join(prefix.withColumnRenamed("u", "l"), prefix.withColumnRenamed("u", "r"), ["token"])
+    met = met.where((F.col("l.uid") < F.col("r.uid")) & (F.least("l.n", "r.n") >= ratio * F.greatest("l.n", "r.n") - 1e-9))
+    met = met.where(residual) if residual is not None else met
+    return met.select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r")).distinct()
 
 
 def exact_classes(units: DataFrame, uid: str, key: Column) -> DataFrame:
@@ -118,20 +123,48 @@ def without_contained(ranges: DataFrame, group: list[str], rank: str) -> DataFra
     return a.join(b, cond, "left_anti")
 
 
-def subset_pairs(sets: DataFrame, keys: list[str], condition: Column | None = None) -> DataFrame:
+def subset_pairs(sets: DataFrame, keys: list[str], size: str | None = None, ratio: float = 0.0) -> DataFrame:
     """Pairs (l, r) of ids, l < r, of which one's tokens all belong to the other's.
 
     ``sets``(uid, tokens array, keys..., other columns); ``keys`` must agree. If A is within B, B holds A's rarest
     token, so each set joins by that one token with the sets that hold it; sets without tokens join with all sets of
-    their keys. ``condition`` is a residual over a.* and b.*, for example on sizes.
+    their keys. With ``size``, pairs of sizes below ``ratio`` drop out, and bands of the size's logarithm are a
+    further key, so that sets without tokens meet those of about their size only. Hot keys are split.
     """
     tokens = sets.select("uid", F.explode(F.array_distinct("tokens")).alias("token"))
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rarest = tokens.join(frequency, "token").groupBy("uid").agg(F.min(F.struct("df", "token")).alias("m")).select("uid", F.col("m.token").alias("__token"))
-    everything = F.lit("\0")
-    whole = F.struct(*sets.columns)
-    small = sets.join(rarest, "uid", "left").select(whole.alias("a"), F.coalesce("__token", everything).alias("__token"), *keys)
-    large = sets.select(whole.alias("b"), F.explode(F.concat(F.array_distinct("tokens"), F.array(everything))).alias("__token"), *keys)
-    inside = F.size(F.array_except("a.tokens", "b.tokens")) == 0
-    met = small.join(large, ["__token", *keys]).where((F.col("a.uid") != F.col("b.uid")) & inside & (condition if condition is not None else F.lit(True)))
+    everything, band, near = F.lit("\0"), F.lit(0), F.array(F.lit(0))
+    if size is not None and ratio > 0:
+        width = max(math.log(1 / ratio), 1e-6) * (1 + 1e-9)
+        band = F.when(F.col(size) > 0, F.floor(F.log(size) / width)).otherwise(-1_000_000).cast("int")
+        near = F.array(band - 1, band, band + 1)
+    slim = F.struct("uid", "tokens", *([size] if size else []))
+    small = sets.join(rarest, "uid", "left").select(slim.alias("a"), F.coalesce("__token", everything).alias("__token"), F.explode(near).alias("__band"), *keys)
+    large = sets.select(slim.alias("b"), F.explode(F.concat(F.array_distinct("tokens"), F.array(everything))).alias("__token"), band.alias("__band"), *keys)
+    met = salted_join(large, small, ["__token", "__band", *keys]).where((F.col("a.uid") != F.col("b.uid")) & (F.size(F.array_except("a.tokens", "b.tokens")) == 0))
+    if size is not None:
+        met = met.where(F.least(f"a.{size}", f"b.{size}") >= ratio * F.greatest(f"a.{size}", f"b.{size}"))
     return met.select(F.least("a.uid", "b.uid").alias("l"), F.greatest("a.uid", "b.uid").alias("r")).distinct()
+
+
+def greedy_matching(pairs: DataFrame) -> DataFrame:
+    """Pairs taken best first, each unit at most once: a matching, not a clustering.
+
+    ``pairs``(l, r, score, other columns), ids of one type; ties in order of l, then r. A pair that is the best of both its units is
+    what the sequential pass would take too, so each round takes all such pairs and drops those that touch a taken
+    unit. Every round takes at least the best pair left, and in expectation a constant share of all.
+    """
+    left = cut(pairs, "matching")
+    taken: DataFrame | None = None
+    while not left.isEmpty():
+        place = F.struct((-F.col("score")).alias("s"), F.col("l").alias("l"), F.col("r").alias("r"))
+        ends = left.select(F.explode(F.array("l", "r")).alias("unit"), place.alias("place"))
+        best = ends.groupBy("unit").agg(F.min("place").alias("best"))
+        mutual = best.groupBy("best").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("best.l").alias("l"), F.col("best.r").alias("r"))
+        new = cut(left.join(mutual, ["l", "r"], "left_semi"), "taken")
+        used = new.select(F.explode(F.array("l", "r")).alias("unit"))
+        rest = cut(left.join(used.withColumnRenamed("unit", "l"), "l", "left_anti").join(used.withColumnRenamed("unit", "r"), "r", "left_anti").select(pairs.columns), "matching")
+        release(left)
+        taken, left = new if taken is None else taken.unionByName(new), rest
+    return taken if taken is not None else left

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.functions import likeness as S
 from twinscan.functions.type_text import normal_type, parts, property_likeness, type_likeness
-from twinscan.operators.pairs import overlap_pairs, scope_condition, spread
+from twinscan.operators.pairs import band_pairs, greedy_matching, overlap_pairs, scope_condition, spread
 from twinscan.plans.scratch import cut
 
 SHAPE = "uid {id}, names array<string>, types array<string>, optional array<boolean>, tokens array<string>"
@@ -118,35 +118,51 @@ def similar_types(units: DataFrame, threshold: float = 0.8, scope: str = "all",
     rows = units.where(~F.coalesce("has_ignore", F.lit(False)))
     if kinds != "all":
         rows = rows.where(F.col("kind") == kinds)
-    id_type = units.schema["uid"].dataType.simpleString()
-    rows = rows.select("uid", "file_path", F.coalesce("name", F.lit("")).alias("name"), "kind", "properties")
+    shapes, info = _prepared(rows)
+    out = _compared(shapes, info, threshold, allow_cross_kind=allow_cross_kind)
+    out = out.where(scope_condition(scope, F.col("lfile"), F.col("rfile")) & ~((F.col("lfile") == F.col("rfile")) & (F.col("lname") == F.col("rname"))))
+    return out.select("l", "r", "score", "structural_score", "naming_score")
+
+
+def _prepared(rows: DataFrame, side: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Written shapes and the names, files, kinds, lines and side (0 for all, or one of two) of types."""
+    id_type = rows.schema["uid"].dataType.simpleString()
+    lines = [F.col(c) if c in rows.columns else F.lit(None).cast("int").alias(c) for c in ("start_line", "end_line")]
+    rows = rows.select("uid", "file_path", F.coalesce("name", F.lit("")).alias("name"), "kind", *lines, "properties", (side if side is not None else F.lit(0)).cast("int").alias("side"))
     shapes = cut(rows.select("uid", "properties").mapInPandas(_shapes, SHAPE.format(id=id_type)), "shapes")
-    info = rows.select("uid", "file_path", "name", "kind")
-    least = max(0.0, (threshold - 0.15) / 0.85)
+    return shapes, rows.drop("properties")
+
 
+def _compared(shapes: DataFrame, info: DataFrame, threshold: float, allow_cross_kind: bool = True, sides: bool = False) -> DataFrame:
+    """Scored pairs at or above the threshold, of different sides only if ``sides``: l, r, score..., lname, lfile, llines, rname..."""
+    id_type = info.schema["uid"].dataType.simpleString()
+    least = max(0.0, (threshold - 0.15) / 0.85)
+    other = (F.col("l.side") != F.col("r.side")) if sides else None
     held = shapes.select("uid", F.explode("tokens").alias("token"))
     # Of the 2 n name and type tokens of a unit at least the matched number is shared: half the share.
-    sizes = shapes.select("uid", (2 * F.size("names")).alias("n")).where("n > 0")
-    pairs = overlap_pairs(held, sizes, least / 2) if least > 0 else _all_pairs(sizes)
-    bare = shapes.where(F.size("names") == 0).select("uid")
-    pairs = pairs.unionByName(_bare_pairs(bare.join(info, "uid"), threshold))
+    sizes = shapes.select("uid", (2 * F.size("names")).alias("n")).where("n > 0").join(info.select("uid", "side"), "uid")
+    # No more properties match than the smaller type has, so sizes differ less than shares of tokens would allow.
+    pairs = overlap_pairs(held, sizes, least / 2, least / (2 - least), other)
+    names = info.select("uid", "name", "side").join(shapes.select("uid", (F.size("names") == 0).alias("bare")), "uid")
+    pairs = pairs.unionByName(_named_pairs(names.where("bare"), (threshold - 0.51) / 0.49, other))
+    if least == 0:  # types that match in nothing, or of which one is bare, still score 0.15 of their names' likeness
+        pairs = pairs.unionByName(_named_pairs(names, threshold / 0.15, other)).distinct()
 
     a, b = shapes.toDF("l", "ln", "lt", "lo", "lk"), shapes.toDF("r", "rn", "rt", "ro", "rk")
     # Every match shares a token, so too few shared tokens cannot reach the structure; checked before Python scores.
     enough = F.size(F.array_intersect("lk", "rk")) >= least * (F.size("ln") + F.size("rn")) / 2 - 1e-9
     met = spread(pairs).join(a, "l").join(b, "r").where(enough).select("l", "r", "ln", "lt", "lo", "rn", "rt", "ro").mapInPandas(_scored, MATCH.format(id=id_type))
-    li, ri = info.toDF("l", "lfile", "lname", "lkind"), info.toDF("r", "rfile", "rname", "rkind")
-    n = shapes.select("uid", F.size("names").alias("p"))
-    out = met.join(li, "l").join(ri, "r").join(n.toDF("l", "p1"), "l").join(n.toDF("r", "p2"), "r")
-    out = out.where(scope_condition(scope, F.col("lfile"), F.col("rfile")) & ~((F.col("lfile") == F.col("rfile")) & (F.col("lname") == F.col("rname"))))
-    names = S.property_name_likeness(F.col("lname"), F.col("rname"))
-    structure = S.type_structure(F.col("quality_sum"), F.col("matched"), F.col("p1"), F.col("p2"), names)
-    naming = S.type_naming(F.col("name_sum"), F.col("matched"), names)
+    lines = F.struct("start_line", "end_line")
+    side = shapes.select("uid", F.size("names").alias("p")).join(info, "uid").select("uid", "p", "file_path", "name", "kind", lines.alias("lines"))
+    out = met.join(side.toDF("l", "p1", "lfile", "lname", "lkind", "llines"), "l").join(side.toDF("r", "p2", "rfile", "rname", "rkind", "rlines"), "r")
+    alike = S.property_name_likeness(F.col("lname"), F.col("rname"))
+    structure = S.type_structure(F.col("quality_sum"), F.col("matched"), F.col("p1"), F.col("p2"), alike)
+    naming = S.type_naming(F.col("name_sum"), F.col("matched"), alike)
     if not allow_cross_kind:
         same = F.col("lkind") == F.col("rkind")
         structure, naming = F.when(same, structure).otherwise(0.0), F.when(same, naming).otherwise(0.0)
     out = out.withColumns({"structural_score": structure, "naming_score": naming})
-    return out.withColumn("score", S.weighted(F.col("structural_score"), F.col("naming_score"))).where(F.col("score") >= threshold).select("l", "r", "score", "structural_score", "naming_score")
+    return out.withColumn("score", S.weighted(F.col("structural_score"), F.col("naming_score"))).where(F.col("score") >= threshold)
 
 
 def duplicate_types(units: DataFrame, threshold: float = 0.8, **kw) -> DataFrame:
@@ -158,14 +174,15 @@ def similar_type_literals(units: DataFrame, threshold: float = 0.8) -> DataFrame
     """Type literals like a named type: literal, definition (uid), score, structural_score, naming_score.
 
     ``units`` as of ``similar_types`` with start_line and end_line. A literal and a definition of one file whose
-    lines overlap are one text and make no pair.
+    lines overlap are one text and make no pair; neither names nor the ignore directive exclude any. Only pairs of a
+    literal and a definition are proposed.
     """
-    side = units.select("uid", F.struct("file_path", "kind", "start_line", "end_line").alias("u"))
-    pairs = similar_types(units, threshold).join(side.toDF("l", "a"), "l").join(side.toDF("r", "b"), "r")
-    first, second = F.col("a.kind") == "typeLiteral", F.col("b.kind") == "typeLiteral"
-    apart = (F.col("a.file_path") != F.col("b.file_path")) | (F.col("a.end_line") < F.col("b.start_line")) | (F.col("b.end_line") < F.col("a.start_line"))
-    pairs = pairs.where((first != second) & apart)
-    return pairs.select(F.when(first, F.col("l")).otherwise(F.col("r")).alias("literal"), F.when(first, F.col("r")).otherwise(F.col("l")).alias("definition"), "score", "structural_score", "naming_score")
+    shapes, info = _prepared(units, (F.col("kind") == "typeLiteral").cast("int"))
+    pairs = _compared(shapes, info, threshold, sides=True)
+    apart = (F.col("lfile") != F.col("rfile")) | (F.col("llines.end_line") < F.col("rlines.start_line")) | (F.col("rlines.end_line") < F.col("llines.start_line"))
+    first = F.col("lkind") == "typeLiteral"
+    ends = F.when(first, F.col("l")).otherwise(F.col("r")).alias("literal"), F.when(first, F.col("r")).otherwise(F.col("l")).alias("definition")
+    return pairs.where(apart).select(*ends, "score", "structural_score", "naming_score")
 
 
 def similar_literal_pairs(units: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -173,28 +190,36 @@ def similar_literal_pairs(units: DataFrame, threshold: float = 0.8) -> DataFrame
     return similar_types(units.where(F.col("kind") == "typeLiteral"), threshold)
 
 
-def _all_pairs(sizes: DataFrame) -> DataFrame:
-    from twinscan.operators.pairs import band_pairs
+def _named_pairs(rows: DataFrame, need: float, residual: Column | None) -> DataFrame:
+    """Pairs of types whose names' likeness is at least ``need``: two without properties score 0.51 + 0.49 of it."""
+    need = min(1.0, max(0.0, need))
+    rows = rows.select("uid", "name", "side", F.octet_length("name").alias("n"))
+    close = S.property_name_likeness(F.col("l.name"), F.col("r.name")) >= need - 1e-9
+    # Names equal but for blanks may differ in length, so only a loose band is safe.
+    pairs = band_pairs(rows, "uid", "n", need / 2, close & residual if residual is not None else close)
+    return pairs.select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r"))
 
-    return band_pairs(sizes, "uid", "n", 0.0).select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r"))
 
+def type_groups(pairs: DataFrame) -> DataFrame:
+    """Groups of similar types, best pairs first, no type in two groups: so each holds two types (l, r, score)."""
+    return greedy_matching(pairs)
 
-def _bare_pairs(bare: DataFrame, threshold: float) -> DataFrame:
-    """Types without properties: the score is 0.51 + 0.49 of the names' likeness."""
-    from twinscan.operators.pairs import band_pairs
 
-    need = min(1.0, max(0.0, (threshold - 0.51) / 0.49))
-    rows = bare.select("uid", "name", F.octet_length("name").alias("n"))
-    close = S.property_name_likeness(F.col("l.name"), F.col("r.name")) >= need
-    # Names equal but for blanks may differ in length, so only a loose band is safe.
-    return band_pairs(rows, "uid", "n", need / 2, close).select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r"))
+def type_signatures(units: DataFrame) -> DataFrame:
+    """uid, signature: the normal properties in order of name, with readonly and ? marks.
 
+    A property declared twice keeps its last type; a mark on any of the declarations counts.
+    """
+    id_type = units.schema["uid"].dataType.simpleString()
 
-def greedy_groups(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Best-first pairs of units not yet in a pair: a matching, not a clustering. For report-sized input."""
-    used, out = set(), []
-    for l, r, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if l not in used and r not in used:
-            used |= {l, r}
-            out.append((l, r, score))
-    return out
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for uid, props in zip(batch["uid"], batch["properties"]):
+                props = list(props) if props is not None else []
+                fixed = {(p["name"] or "").strip() for p in props if p["readonly"]}
+                kept = zip(*shape([(p["name"] or "", p["type_annotation"] or "", bool(p["optional"])) for p in props]))
+                out.append((uid, "{ " + "; ".join(f"{'readonly ' if n in fixed else ''}{n}{'?' if o else ''}: {t}" for n, t, o in kept) + " }"))
+            yield pd.DataFrame(out, columns=["uid", "signature"])
+
+    return units.select("uid", "properties").mapInPandas(rows, f"uid {id_type}, signature string")

@@ -50,7 +50,10 @@ def analyze_project(spark: SparkSession, paths: list[str], cwd: str = ".", optio
     started, options = time.time(), options or Options()
     found = discover(paths, cwd, options.extensions, options.exclude)
     result = analyze(read_files(spark, found, cwd), options)
+    read = {r["file_path"] for r in result.files.collect()}  # the report names every file
     shown = [shown_path(f, cwd) for f in found.files]
+    found.warnings += [(f, "failed to read: the file is gone") for f, s in zip(found.files, shown) if s not in read]
+    shown = [s for s in shown if s in read]
     return build(result, shown, [shown_path(f, cwd) for f in found.skipped], [(shown_path(p, cwd), m) for p, m in found.warnings], started)
 
 

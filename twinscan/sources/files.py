@@ -162,16 +162,25 @@ def shown_path(path: str, cwd: str | os.PathLike = ".") -> str:
 
 
 def read_files(spark: SparkSession, found: Found, cwd: str | os.PathLike = ".") -> DataFrame:
-    """Contents of discovered files: file_path (as shown), content (UTF-8, a byte order mark removed)."""
+    """Contents of discovered files: file_path (as shown), content (UTF-8, a byte order mark removed).
+
+    A file that cannot be opened leaves ``found.files`` for a warning; one that vanishes later has no row.
+    """
+    for f in list(found.files):
+        try:
+            open(f, "rb").close()
+        except OSError as e:
+            found.files.remove(f)
+            found.warnings.append((f, f"failed to read: {e.strerror}"))
     if not found.files:
         return spark.createDataFrame([], "file_path string, content string")
     prefix = Path(cwd).resolve().as_posix().rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").load(found.files)
+    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(found.files)
     path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     path = F.when(F.startswith(path, F.lit(prefix)), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
     text = F.regexp_replace(F.expr("decode(content, 'UTF-8')"), "^\\uFEFF", "")
     rows = raw.select(path.alias("file_path"), text.alias("content"))
-    empty = [(shown_path(f, cwd), "") for f in found.files if os.path.getsize(f) == 0]  # Spark's file sources pass these over
+    empty = [(shown_path(f, cwd), "") for f in found.files if os.path.exists(f) and os.path.getsize(f) == 0]  # Spark's file sources pass these over
     return rows.unionByName(spark.createDataFrame(empty, rows.schema)) if empty else rows
 
 
