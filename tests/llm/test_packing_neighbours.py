@@ -5,8 +5,8 @@ from twinscan.llm.packing import Index, fill
 
 def packed(docs, sizes, capacity):
     terms = [np.array(sorted(d), np.uint32) for d in docs]
-    index = Index(terms, [np.ones(len(t), np.uint8) for t in terms], np.array([len(d) for d in docs], float))
-    return fill(np.array(sizes), index, capacity)
+    index = Index(terms, [np.ones(len(t), np.uint32) for t in terms], np.array([len(d) for d in docs], float))
+    return [m for m, _ in fill(np.array(sizes), index, capacity)]
 
 
 def test_neighbours_fill_the_window_before_unrelated_documents():

@@ -21,12 +21,12 @@ def brute(rows, n):
     return sorted((g, k + 1, i, -s) for g, v in best.items() for k, (s, i) in enumerate(sorted(v)[:n]))
 
 
-@pytest.mark.parametrize("hot", [1, 50, 10**9])
+@pytest.mark.parametrize("hot", [1, 20, 50, 10**9, None])
 def test_hot_and_light_groups_agree_with_brute_force(spark, hot):
-    rng = random.Random(hot)
+    rng = random.Random(str(hot))
     rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([0.1, 0.5, 0.5, 1.0, None, float("nan")]), rng.randrange(200)) for _ in range(600)]
     df = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], SCHEMA)
-    assert top(df, n=3, hot_rows=hot, rows_per_salt=20) == brute(rows, 3)
+    assert top(df, n=3, hot_rows=hot) == brute(rows, 3)
 
 
 def test_ties_repeats_and_empty(spark):
@@ -69,3 +69,21 @@ def test_extreme_ids_and_empty_table(spark):
     assert groups(df) == [("", -(2**63), -(2**63)), ("", 5, 5), ("", 2**63 - 1, -(2**63))]
     assert groups(df.limit(0)) == []
     assert groups(spark.createDataFrame([("a", None, 1)], "s string, l long, r long"), F.col("s")) == []
+
+
+def test_the_tenth_of_all_rows_in_one_file_goes_the_hot_way(spark, tmp_path):
+    import re
+
+    from twinscan.llm.queries import p1_found
+
+    rows = [(i, "functions", "hot.ts" if i % 10 == 0 else f"f{i % 97}.ts", (i * 37 % 101) / 100) for i in range(4000)]
+    loc = "struct<file_path:string,start_line:int,end_line:int,symbol_name:string,kind:string>"
+    df = spark.createDataFrame([(i, m, s, (p, 1, 2, "s", "k")) for i, m, p, s in rows], f"pair_id long, mode string, score double, left_loc {loc}")
+    df.write.parquet(str(tmp_path / "unit_pairs.parquet"))
+    found = p1_found(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted((m, p, i) for (m, p) in {(m, p) for _, m, p, _ in rows} for _, i in sorted((-s, i) for i, _, q, s in rows if q == p)[:5])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"rangepartitioning\(", plan)
+    counts = df.groupBy("left_loc.file_path").count().where("count > 4000 / (4 * 4)").collect()
+    assert [r["file_path"] for r in counts] == ["hot.ts"]

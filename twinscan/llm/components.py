@@ -17,8 +17,9 @@ def connected_groups(pairs: DataFrame, left: Column, right: Column, scope: Colum
     geometrically and a billion pairs need some tens of rounds. The hooks are then expanded from the
     last round back to the first, carrying each group's smallest vertex.
 
-    A hub costs nothing: hooking is a ``min_by`` aggregate with map-side combining, and no neighbour
-    list is ever built. Each round is written to the shared folder, so lost executors only re-read.
+    Hooking is a ``min_by`` aggregate with map-side combining, and no neighbour list is ever built. Relabelling
+    joins the edges with one row per vertex, so a hub's edges are skewed on one side only, which adaptive
+    execution splits. Each round is written to the shared folder, so lost executors only re-read.
 
     Defined results: pairs with a null end or null scope take no part; a vertex paired only with itself
     is its own group; repeated and reversed pairs count once; an empty table gives no rows.
@@ -31,6 +32,7 @@ def connected_groups(pairs: DataFrame, left: Column, right: Column, scope: Colum
     edges, least = raw.where("u <> v"), None
     for seed in range(max_rounds):
         if edges.isEmpty():
+            release(edges)
             break
         both = edges.select("s", "u", F.col("v").alias("w")).unionByName(edges.select("s", F.col("v").alias("u"), F.col("u").alias("w")))
         h = F.xxhash64("w", F.lit(seed))
@@ -45,8 +47,7 @@ def connected_groups(pairs: DataFrame, left: Column, right: Column, scope: Colum
         b = hook.select("s", "v", F.col("r").alias("rv"))
         new = edges.join(a, ["s", "u"]).join(b, ["s", "v"]).where("ru <> rv")
         new = cut(new.select("s", F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
-        if seed:
-            release(edges)
+        release(edges)  # does nothing for the first, which is not a table of its own
         edges = new
     else:
         if not edges.isEmpty():
@@ -54,13 +55,15 @@ def connected_groups(pairs: DataFrame, left: Column, right: Column, scope: Colum
 
     # Expand from the last round back: the least vertex of a hook that no later round contracts is final.
     group = None
-    for i, hook in enumerate(reversed(hooks)):
+    for hook in reversed(hooks):
         final = hook.groupBy("s", F.col("r").alias("x")).agg(F.min("m").alias("own"))
         if group is not None:
             final = final.join(group.select("s", F.col("v").alias("x"), "g"), ["s", "x"], "left").select("s", "x", F.coalesce("g", "own").alias("own"))
-        group = hook.join(final.withColumnRenamed("x", "r"), ["s", "r"]).select("s", "v", F.col("own").alias("g"))
-        if i < len(hooks) - 1:
-            group = cut(group, "groups")
+        before = group
+        group = cut(hook.join(final.withColumnRenamed("x", "r"), ["s", "r"]).select("s", "v", F.col("own").alias("g")), "groups")
+        release(hook)
+        if before is not None:
+            release(before)
     loops = raw.where("u = v").select("s", "v", F.col("v").alias("g"))
     if group is not None:
         loops = loops.join(group.select("s", "v"), ["s", "v"], "left_anti")

@@ -53,7 +53,6 @@ _THEN_NAME = re.compile(r"[ \t]+[\w$#]+")
 _THEN_TYPE = re.compile(r"[ \t]+[\w${\[]")
 _THEN_TYPE_IMPORT = re.compile(r"\s+type\s*[{*\w]")
 _TYPE_NAMED = re.compile(r"\s+type\s+from\b")
-_PARAMETER = re.compile(r"[(,]\s*(?:\.\.\.)?[A-Za-z_$][\w$]*\s*\Z")
 _SELF_CLOSED = re.compile(r"<[\w$.]+(?:\s+[\w$-]+=(?:\"[^\"]*\"|\{[^}]*\}))*\s*/>")
 _GENERIC_CALL = re.compile(r"<\s*[A-Za-z_$][\w$]*\s*>\s*\(")
 _EXPORTS = set("default const let var function class async interface type enum declare abstract namespace import as module global".split())
@@ -84,7 +83,9 @@ def problem(text: str, language: str) -> str | None:
     word = ""  # the last token if it was a word
     previous = ""  # the word right before it, if any
     closed = ""  # kind of the bracket just closed
+    lead = ""  # what came right before it
     last_end = pos
+    absent: set[str] = set()  # closing tags that occur nowhere further on
     match = _TOKEN.match
     while True:
         m = match(text, pos)
@@ -99,7 +100,7 @@ def problem(text: str, language: str) -> str | None:
                 return "unknown character"
             property_name = kind in (".", "?.")
             if not operand and not property_name:
-                newline = "\n" in m[1] or "\n" in text[text.rfind(kind, 0, m.start(2)) :] if False else "\n" in text[last_end : m.start(2)]
+                newline = "\n" in text[last_end : m.start(2)]
                 if token not in _INFIX and (not newline or (stack and stack[-1][0] in "([" and stack[-1][1] != "for")):
                     if not (kind == "word" and word in _BEFORE_WORD) and kind not in (">", "}", "?") and not (kind == ")" and closed in _HEADERS):
                         if not (kind == "word" and (_contextual(word, token) or word == "for" and token == "await")):
@@ -125,7 +126,7 @@ def problem(text: str, language: str) -> str | None:
                 return "operands without an operator"
             if previous == "for" and token == "await":
                 word = "for"
-            kind = "word"
+            lead, kind = kind, "word"
             operand = token in _BEFORE_OPERAND and not property_name or (token in ("function", "class", "const", "let", "var", "import", "export") and not property_name)
             if property_name:
                 word = "." + token
@@ -204,7 +205,10 @@ def problem(text: str, language: str) -> str | None:
                             operand, kind, word = False, "value", ""
                         last_end = pos
                         continue
-                    if looks and (text.find(f"</{tag[1] or ''}", at) >= 0 or _SELF_CLOSED.match(text, at)):
+                    closing = f"</{tag[1] or ''}"
+                    if looks and closing not in absent and text.find(closing, at) < 0:
+                        absent.add(closing)
+                    if looks and (closing not in absent or _SELF_CLOSED.match(text, at)):
                         return "markup outside a tsx file" if typed else "markup in javascript"
                     if not looks:
                         return "operator without an operand"
@@ -229,7 +233,7 @@ def problem(text: str, language: str) -> str | None:
             elif token in (">", "<"):
                 kind, operand = token, True
             elif token == ":":
-                if kind in ("op", "=", "=>", "...") or (not typed and stack and stack[-1][0] == "(" and kind == "word" and _first_in_parens(text, m.start(8), stack)):
+                if kind in ("op", "=", "=>", "...") or (not typed and stack and stack[-1][0] == "(" and kind == "word" and lead in ("(", ",", "...")):
                     return "operator without an operand" if kind != "word" else "typescript in javascript"
                 kind, operand = ":", True
             elif token == "?":
@@ -237,7 +241,7 @@ def problem(text: str, language: str) -> str | None:
                     return "operator without an operand"
                 kind, operand = "?", True
             elif token == "*":
-                if operand and kind in ("op", "=", "=>", "?", "[") and not (kind == "word"):
+                if operand and kind in ("op", "=", "=>", "?", "["):
                     return "operator without an operand"
                 kind, operand = ("*" if kind in ("word", "{", ",", ";", "}", "") else "op"), True
             elif token == ".":
@@ -314,11 +318,6 @@ def _names_open(stack: list[tuple[str, str]]) -> bool:
     return bool(stack) and stack[-1] == ("{", "names")
 
 
-def _first_in_parens(text: str, colon: int, stack: list[tuple[str, str]]) -> bool:
-    """Whether the word before a colon directly follows an opening parenthesis or a comma."""
-    return _PARAMETER.search(text, max(0, colon - 200), colon) is not None
-
-
 def _open_tag(text: str, tag: re.Match, stack: list[tuple[str, str]]) -> tuple[int, str | None]:
     stack.append(("<", tag[1] or ""))
     return _jsx(text, tag.end(), stack, "attribute")

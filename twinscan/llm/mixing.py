@@ -2,13 +2,14 @@
 
 Method: Efraimidis-Spirakis sampling. A source's token budget first takes complete epochs of the source; the
 rest of the budget takes documents in the order of exponential keys scaled by quality weights, prefix-summed
-up to the budget. The prefix sums are two-level: keys fall into buckets, small bucket totals are accumulated,
-and only the one bucket in which a source's budget ends is sorted, so a source that holds a third of all rows
-is never gathered in one task.
+up to the budget. The prefix sums work on buckets of keys: small bucket totals are accumulated, the one bucket in
+which a source's budget ends is split into buckets again until it is small, and only its rows are sorted. A source
+that holds a third of all rows is never gathered in one task, however its keys are spread.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,15 +20,24 @@ from twinscan.llm.tokens import VOCABULARY, token_count
 from twinscan.plans.scratch import cut
 
 BUCKETS = 4096
+EDGE_ROWS = 20_000  # rows of one source that are sorted in one task
 MOST_SOURCES = 10_000
 
 
 def _counted(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        n = [token_count(t, vocabulary) for t in batch["t"]]
-        # Quality: characters per token, how well the vocabulary knows the text; noise has few.
-        w = [min(1.0, max(0.1, (len(t) / k) / 3.0)) if k else 0.1 for t, k in zip(batch["t"], n)]
-        yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "tokens": n, "weight": w}).astype({"tokens": "int64", "weight": "float64"})
+        yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "tokens": [token_count(t, vocabulary) for t in batch["t"]], "weight": batch["weight"]}).astype({"tokens": "int64", "weight": "float64"})
+
+
+def quality(text: Column) -> Column:
+    """Quality weight of a document in 0.1..1: the share of its text lines that end a sentence or clause, and the
+    share of letters and blanks in them, half each. Timing lines, numbers and empty lines are no text lines."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: ~x.rlike(r"^\s*\d*\s*$|-->"))
+    ended = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…,:;–-][\"'»”’)\]]*\s*$"))) / F.size(lines)
+    body = F.array_join(lines, "\n")
+    plain = F.char_length(F.regexp_replace(body, r"[^\p{L}\p{M}\s]+", "")) / F.char_length(body)
+    score = (F.coalesce(ended, F.lit(0.0)) + F.coalesce(plain, F.lit(0.0))) / 2
+    return F.when(F.size(lines) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.1), score))).otherwise(0.1)
 
 
 def budgets(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, int]:
@@ -42,6 +52,35 @@ def budgets(available: dict[str, int], targets: dict[str, tuple[float, int]], to
     return {s: min(int(share * total), r * available[s]) for s, (share, r) in real.items()}
 
 
+def _edges(keyed: DataFrame, plan: list[tuple[str, int, int]], rows: int = EDGE_ROWS) -> DataFrame:
+    """source, epochs, rest, lo, hi, before: the stretch of places in which the rest of a source's budget ends, with at most
+    ``rows`` rows, and the tokens before it.
+
+    Each round splits the stretches into buckets; only the one bucket of each source that holds the end (at most
+    MOST_SOURCES rows) comes to the driver. Places that differ in nothing a double can tell stay together.
+    """
+    spark = keyed.sparkSession
+    schema = "source string, epochs long, rest long, lo double, hi double, before long"
+    known = {s: (s, e, r, 0.0, 1.0, 0) for s, e, r in plan}
+    todo = dict(known)
+    while todo:
+        at = F.broadcast(spark.createDataFrame(list(todo.values()), schema))
+        inside = keyed.join(at, "source").where("place >= lo and place < hi")
+        step = (F.col("hi") - F.col("lo")) / BUCKETS
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("place") - F.col("lo")) / step).cast("int"))
+        totals = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("tokens").alias("b"), F.count(F.lit(1)).alias("n"), F.min("place").alias("least"), F.max("place").alias("most"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        totals = totals.withColumn("upto", F.col("before") + F.sum("b").over(Window.partitionBy("source").orderBy("bucket")))  # at most BUCKETS rows a source
+        last = totals.where("upto > rest").groupBy("source").agg(F.min_by(F.struct("n", "least", "most", (F.col("upto") - F.col("b")).alias("before")), "bucket").alias("x")).select("source", "x.*")
+        more = {}
+        for x in last.collect():  # rest < available, so every source with a budget has a last bucket
+            s, e, r, *_ = known[x["source"]]
+            known[s] = (s, e, r, x["least"], math.nextafter(x["most"], 2.0), x["before"])
+            if x["n"] > rows and x["most"] > x["least"]:
+                more[s] = known[s]
+        todo = more
+    return spark.createDataFrame(list(known.values()), schema)
+
+
 def mix(
     docs: DataFrame, doc_id: Column, text: Column, source: Column, targets: DataFrame, total: int | None = None, seed: int = 17, vocabulary: str = VOCABULARY
 ) -> tuple[DataFrame, DataFrame]:
@@ -61,29 +100,23 @@ def mix(
         raise ValueError(f"more than {MOST_SOURCES} target sources")
     goal = {x["s"]: (x["share"] or 0.0, x["r"] or 0) for x in wanted}
     spark = docs.sparkSession
-    rows = docs.select(doc_id.cast("long").alias("id"), source.alias("source"), text.alias("t")).where("id is not null and t is not null and source is not null")
+    rows = docs.select(doc_id.cast("long").alias("id"), source.alias("source"), text.alias("t"), quality(text).alias("weight")).where("id is not null and t is not null and source is not null")
     names = spark.createDataFrame([(s,) for s in goal], "source string")
     counted = rows.join(F.broadcast(names), "source", "left_semi").mapInPandas(lambda it: _counted(it, vocabulary), "id long, source string, tokens long, weight double").where("tokens > 0")
     counted = cut(counted.dropDuplicates(["id"]), "counted")
     available = {x["source"]: x["n"] for x in counted.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     budget = budgets(available, goal, total)
     plan = [(s, b // available[s], b % available[s]) for s, b in budget.items()]
-    plan = spark.createDataFrame(plan, "source string, epochs long, rest long")
-
     unit = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    keyed = counted.withColumn("key", -F.log(unit) / F.col("weight"))
-    keyed = keyed.withColumn("bucket", F.floor(F.lit(BUCKETS) * (1 - F.exp(-F.col("key")))).cast("int"))
-    totals = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("b"))  # at most BUCKETS + 1 rows a source
-    run = Window.partitionBy("source").orderBy("bucket")
-    totals = totals.withColumn("upto", F.sum("b").over(run)).join(F.broadcast(plan), "source")
-    last = totals.where("upto > rest").groupBy("source").agg(F.min("bucket").alias("last"), F.min(F.col("upto") - F.col("b")).alias("before"))
-    marked = keyed.join(F.broadcast(plan), "source").join(F.broadcast(last), "source")  # rest < available, so every planned source has a last bucket
-    whole = marked.where(F.col("bucket") < F.col("last")).withColumn("extra", F.lit(1))
-    edge = marked.where(F.col("bucket") == F.col("last"))
-    order = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
+    key = -F.log(unit) / F.col("weight")
+    keyed = counted.withColumn("place", key / (1 + key))  # in 0..1, in order of the keys
+    edges = _edges(keyed, plan)
+    marked = keyed.join(F.broadcast(edges), "source")
+    edge = marked.where((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
+    order = Window.partitionBy("source").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("extra", (F.col("before") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
-    rest = marked.where(F.col("bucket") > F.col("last")).withColumn("extra", F.lit(0))
-    chosen = whole.unionByName(edge).unionByName(rest).withColumn("copies", F.col("epochs") + F.col("extra")).where("copies > 0")
+    sides = marked.where((F.col("place") < F.col("lo")) | (F.col("place") >= F.col("hi"))).withColumn("extra", (F.col("place") < F.col("lo")).cast("int"))
+    chosen = sides.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("extra")).where("copies > 0")
     selection = cut(chosen.select(F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), F.col("copies").cast("long").alias("copies")), "selection")
 
     got = {x["source"]: x["n"] for x in selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
@@ -91,3 +124,14 @@ def mix(
     lines = [(s, float(share), int(r), int(available.get(s, 0)), int(budget.get(s, 0)), int(got.get(s, 0)), got.get(s, 0) / everything if everything else 0.0) for s, (share, r) in sorted(goal.items())]
     report = spark.createDataFrame(lines, "source string, target_share double, max_repeats long, available_tokens long, budget_tokens long, selected_tokens long, reached_share double")
     return selection, report
+
+
+def mixing_checks(docs: DataFrame, doc_id: Column, text: Column, source: Column, selection: DataFrame, report: DataFrame) -> DataFrame:
+    """Per target source what a mixture must keep: n_documents (with text), repeats_kept (no document more often than
+    allowed) and budget_kept (no more tokens than the budget)."""
+    rows = docs.select(doc_id.cast("long").alias("doc_id"), source.alias("source"), text.alias("t")).where("doc_id is not null and t <> ''").select("doc_id", "source").distinct()
+    have = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))
+    used = selection.groupBy("source").agg(F.max("copies").alias("most"))
+    out = report.join(have, "source", "left").join(used, "source", "left")
+    kept = F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True))
+    return out.select("source", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), kept.alias("repeats_kept"), (F.col("selected_tokens") <= F.col("budget_tokens")).alias("budget_kept"))

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from twinscan.llm.components import connected_groups
 from twinscan.llm.shingles import mix, shingle_sets
+from twinscan.operators.pairs import salted_join
 from twinscan.plans.scratch import cut
 
 PERMUTATIONS = 64
 ROWS_PER_BAND = 4  # 32 bands: a pair of likeness 0.7 is missed with probability 1.5e-4, of 0.75 with 5e-6
 SCREEN_BITS = 36  # of 128 one-bit values; likeness 0.7 differs in 19 +- 4, so 36 is beyond four deviations
+LEAST = 0.7  # the bands and the screen are made for likenesses from here on
 SIGNATURE = "id long, f1 long, f2 long, n int, x long, y long, bands array<long>"
 
 
@@ -78,11 +80,12 @@ def _verified(batches: Iterator[pd.DataFrame], k: int, threshold: float) -> Iter
         yield pd.DataFrame(keep, columns=["l", "r", "likeness"])
 
 
-def near_duplicates(df: DataFrame, record_id: Column, text: Column, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, record_id: Column, text: Column, k: int = 5, threshold: float = 0.8, screen_bits: int | None = SCREEN_BITS) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal shingle sets, and the members of every class.
 
     Returns (links, members): links(l, r, likeness) with l < r, class ids being the smallest record id of
-    the class; members(class_id, record_id). Likeness is the Jaccard index of the distinct runs of ``k``
+    the class; members(class_id, record_id). ``screen_bits`` is how many of 128 one-bit values may differ in a
+    candidate; None switches that screen off. Thresholds below ``LEAST`` raise ValueError. Likeness is the Jaccard index of the distinct runs of ``k``
     tokens. Copies are one class and never proposed as pairs, so a text copied into a third of all rows
     costs one signature row per copy.
 
@@ -90,6 +93,8 @@ def near_duplicates(df: DataFrame, record_id: Column, text: Column, k: int = 5,
     fewer than ``k`` tokens has no shingles, belongs to no class and has no links; an empty table gives
     no rows; whole texts are used whatever their length. Other columns play no part.
     """
+    if threshold < LEAST:
+        raise ValueError(f"the bands are made for likenesses of {LEAST} or more")
     texts = df.select(record_id.cast("long").alias("id"), text.alias("t")).where("id is not null and t is not null")
     sigs = cut(texts.mapInPandas(lambda it: _signatures(it, k), SIGNATURE), "signatures")
     ids = sigs.groupBy("f1", "f2", "n").agg(F.min("id").alias("class_id"))
@@ -97,11 +102,12 @@ def near_duplicates(df: DataFrame, record_id: Column, text: Column, k: int = 5,
 
     reps = sigs.join(members.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
     banded = reps.select("id", "n", "x", "y", F.explode("bands").alias("band"))
-    l, r = banded.alias("l"), banded.alias("r")
-    screen = (F.bit_count(F.col("l.x").bitwiseXOR(F.col("r.x"))) + F.bit_count(F.col("l.y").bitwiseXOR(F.col("r.y")))) <= SCREEN_BITS
-    sizes = (F.col("l.n") >= threshold * F.col("r.n")) & (F.col("r.n") >= threshold * F.col("l.n"))
-    pairs = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & screen & sizes)
-    pairs = cut(pairs.select(F.col("l.id").alias("l"), F.col("r.id").alias("r")).distinct(), "candidates")
+    whole = F.struct("id", "n", "x", "y")
+    pairs = salted_join(banded.select("band", whole.alias("l")), banded.select("band", whole.alias("r")), ["band"])
+    keep = (F.col("l.id") < F.col("r.id")) & (F.col("l.n") >= threshold * F.col("r.n")) & (F.col("r.n") >= threshold * F.col("l.n"))
+    if screen_bits is not None:
+        keep &= (F.bit_count(F.col("l.x").bitwiseXOR(F.col("r.x"))) + F.bit_count(F.col("l.y").bitwiseXOR(F.col("r.y")))) <= screen_bits
+    pairs = cut(pairs.where(keep).select(F.col("l.id").alias("l"), F.col("r.id").alias("r")).distinct(), "candidates")
 
     wanted = pairs.select(F.col("l").alias("id")).union(pairs.select("r")).distinct()
     bodies = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
@@ -111,9 +117,13 @@ def near_duplicates(df: DataFrame, record_id: Column, text: Column, k: int = 5,
 
 
 def expand_links(links: DataFrame, members: DataFrame) -> DataFrame:
-    """All record pairs the links and classes stand for: left_id < right_id."""
-    m = members.alias("a").join(members.alias("b"), (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.record_id") < F.col("b.record_id")))
-    inside = m.select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id"))
+    """All record pairs the links and classes stand for: left_id < right_id.
+
+    Quadratic in the copies of a text by its nature (``near_duplicate_groups`` is linear); a class of many copies
+    is split over tasks.
+    """
+    inside = salted_join(members.select("class_id", F.col("record_id").alias("left_id")), members.select("class_id", F.col("record_id").alias("right_id")), ["class_id"])
+    inside = inside.where("left_id < right_id").select("left_id", "right_id")
     a = members.select(F.col("class_id").alias("l"), F.col("record_id").alias("p"))
     b = members.select(F.col("class_id").alias("r"), F.col("record_id").alias("q"))
     across = links.join(a, "l").join(b, "r").select(F.least("p", "q").alias("left_id"), F.greatest("p", "q").alias("right_id"))

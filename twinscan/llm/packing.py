@@ -20,8 +20,8 @@ from twinscan.llm.tokens import VOCABULARY, token_count
 from twinscan.plans.scratch import cut
 
 SHARD = 4000  # documents of one index
-SIZED = "id long, n_tokens long, length int, terms binary, counts binary"
-PACKED = "limit_name string, capacity long, container_id string, doc_id long, part int, start_token long, n_tokens long"
+SIZED = "id long, place array<string>, n_tokens long, length int, terms binary, counts binary"
+PACKED = "limit_name string, capacity long, container_id string, doc_id long, part int, start_token long, n_tokens long, how string"
 
 
 def _sized(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
@@ -30,10 +30,10 @@ def _sized(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.Data
         for at in range(0, len(batch), 256):
             part = batch.iloc[at : at + 256]
             words, offsets = token_hashes([t.lower() for t in part["t"]], words_only=True)
-            for i, (rid, text) in enumerate(zip(part["id"], part["t"])):
+            for i, (rid, place, text) in enumerate(zip(part["id"], part["place"], part["t"])):
                 terms, counts = np.unique((words[offsets[i] : offsets[i + 1]] >> np.uint64(32)).astype(np.uint32), return_counts=True)
-                rows.append((rid, token_count(text, vocabulary), int(counts.sum()), terms.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()))
-        yield pd.DataFrame(rows, columns=["id", "n_tokens", "length", "terms", "counts"])
+                rows.append((rid, place, token_count(text, vocabulary), int(counts.sum()), terms.tobytes(), counts.astype(np.uint32).tobytes()))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in SIZED.split(", ")])
 
 
 class Index:
@@ -67,8 +67,9 @@ class Index:
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
-    """Containers as lists of item numbers, seed first; every size is at most ``capacity``."""
+def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[tuple[list[int], int]]:
+    """Containers as lists of item numbers, the seed first, then the retrieved, then those that only fit; and how many
+    are seed or retrieved. Every size is at most ``capacity``."""
     n = len(sizes)
     by_size = np.lexsort((-np.arange(n), sizes))  # of equal sizes the smallest id comes last and is taken first
     place = np.empty(n, np.int64)
@@ -96,7 +97,7 @@ def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
     while (p := unused(n - 1)) >= 0:
         seed = int(by_size[p])
         take(seed)
-        room, members = capacity - int(sizes[seed]), [seed]
+        room, members, found = capacity - int(sizes[seed]), [seed], 1
         smallest = int(sorted_sizes[0])
         if room >= smallest:
             open_ = ~used & (sizes <= room)
@@ -112,12 +113,13 @@ def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
                 room -= int(sizes[i])
                 near = near[1:]
                 fits = np.flatnonzero(sizes[near] <= room)
+            found = len(members)
             while room >= smallest and (p := unused(int(np.searchsorted(sorted_sizes, room, "right")) - 1)) >= 0:
                 i = int(by_size[p])
                 take(i)
                 members.append(i)
                 room -= int(sizes[i])
-        out.append(members)
+        out.append((members, found))
     return out
 
 
@@ -128,7 +130,7 @@ def _packed(batches: Iterator[pd.DataFrame], limits: list[tuple[str, int]], shar
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
         terms = [np.frombuffer(t, np.uint32) for t in rows["terms"]]
-        counts = [np.frombuffer(c, np.uint8) for c in rows["counts"]]
+        counts = [np.frombuffer(c, np.uint32) for c in rows["counts"]]
         index = Index(terms, counts, rows["length"].to_numpy(float))
         ids, tokens = rows["id"].to_numpy(), rows["n_tokens"].to_numpy()
         out = []
@@ -136,13 +138,14 @@ def _packed(batches: Iterator[pd.DataFrame], limits: list[tuple[str, int]], shar
             whole = np.where(tokens > capacity, tokens // capacity, 0)
             rest = tokens - whole * capacity
             for i in np.flatnonzero(whole):  # only a document above the capacity is split
-                out.extend((name, capacity, f"{ids[i]}.{part}", ids[i], part, part * capacity, capacity) for part in range(whole[i]))
+                out.extend((name, capacity, f"{ids[i]}.{part}", ids[i], part, part * capacity, capacity, "split") for part in range(whole[i]))
             open_items = np.flatnonzero((rest > 0) | (tokens == 0))
             part_index = index if len(open_items) == len(rows) else Index([terms[i] for i in open_items], [counts[i] for i in open_items], rows["length"].to_numpy(float)[open_items])
-            for members in fill(rest[open_items], part_index, capacity):
+            for members, found in fill(rest[open_items], part_index, capacity):
                 seed = open_items[members[0]]
                 key = f"{ids[seed]}.{whole[seed]}"
-                out.extend((name, capacity, key, ids[i], whole[i], whole[i] * capacity, rest[i]) for i in open_items[members])
+                how = ["seed", *["retrieved"] * (found - 1), *["filled"] * (len(members) - found)]
+                out.extend((name, capacity, key, ids[i], whole[i], whole[i] * capacity, rest[i], h) for i, h in zip(open_items[members], how))
         return pd.DataFrame(out, columns=names)
 
     for batch in batches:
@@ -169,17 +172,31 @@ def pack(docs: DataFrame, doc_id: Column, text: Column, limits: list[tuple[str,
     if any(c is None or c < 1 for _, c in limits):
         raise ValueError("capacities must be at least 1")
     places = [c.cast("string") for c in locality or []]
-    rows = docs.select(doc_id.cast("long").alias("id"), text.alias("t"), F.array(*places).alias("place") if places else F.array(F.lit("")).alias("place")).where("id is not null and t is not null")
-    sized = cut(rows.select("id", "t").mapInPandas(lambda it: _sized(it, vocabulary), SIZED).dropDuplicates(["id"]), "sized")
-    where = rows.groupBy("id").agg(F.min("place").alias("place")) if places else None
+    rows = docs.select(doc_id.cast("long").alias("id"), text.alias("t"), F.array(*places or [F.lit("")]).alias("place")).where("id is not null and t is not null").select("id", "place", "t")
+    sized = rows.mapInPandas(lambda it: _sized(it, vocabulary), SIZED)
+    of_one = F.min_by(F.struct("n_tokens", "length", "terms", "counts"), F.struct("place", "n_tokens", "length")).alias("x")
+    sized = cut(sized.groupBy("id").agg(F.min("place").alias("place"), of_one).select("id", "place", "x.*"), "sized")
     n = sized.count()
-    near = sized.join(where, "id") if where is not None else sized.withColumn("place", F.lit(""))
-    shards = near.repartitionByRange(max(1, -(-n // shard)), "place", "id").sortWithinPartitions("place", "id")
+    shards = sized.repartitionByRange(max(1, -(-n // shard)), "place", "id").sortWithinPartitions("place", "id")
     return shards.drop("place").mapInPandas(lambda it: _packed(it, limits, shard), PACKED)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """limit_name, capacity, n_containers, n_tokens, unused_share."""
-    per = packed.groupBy("limit_name", "capacity", "container_id").agg(F.sum("n_tokens").alias("t"))
-    out = per.groupBy("limit_name", "capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"))
-    return out.withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+    """limit_name, capacity, n_containers, n_tokens, unused_share, and the shares of all tokens that lie in split
+    documents (split_share), were retrieved for their seed (retrieved_share) or only fitted (filled_share)."""
+    per = packed.groupBy("limit_name", "capacity", "container_id").agg(F.sum("n_tokens").alias("t"), *(F.sum(F.when(F.col("how") == h, F.col("n_tokens")).otherwise(0)).alias(h) for h in ("split", "retrieved", "filled")))
+    out = per.groupBy("limit_name", "capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), *(F.sum(h).alias(h) for h in ("split", "retrieved", "filled")))
+    shares = {f"{h}_share": F.when(F.col("n_tokens") > 0, F.col(h) / F.col("n_tokens")).otherwise(0.0) for h in ("split", "retrieved", "filled")}
+    return out.withColumns({"unused_share": 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), **shares}).drop("split", "retrieved", "filled")
+
+
+def packing_checks(packed: DataFrame) -> DataFrame:
+    """Per limit what a packing must keep: n_documents, n_over (containers above the capacity), n_twice (document parts
+    that overlap or leave a gap) and n_split (documents cut although they fit)."""
+    containers = packed.groupBy("limit_name", "capacity", "container_id").agg(F.sum("n_tokens").alias("t"))
+    over = containers.groupBy("limit_name", "capacity").agg(F.count_if(F.col("t") > F.col("capacity")).alias("n_over"))
+    docs = packed.groupBy("limit_name", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("t"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count_distinct("part").alias("kinds"))
+    whole = docs.groupBy("limit_name", "capacity").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("t") != F.col("end")) | (F.col("kinds") != F.col("parts"))).alias("n_twice"), F.count_if((F.col("parts") > 1) & (F.col("t") <= F.col("capacity"))).alias("n_split")
+    )
+    return whole.join(over, ["limit_name", "capacity"])

@@ -1,10 +1,11 @@
 """Per-document text statistics that tell speech in sentences from lists, tables and junk.
 
-Method: thresholds on cue statistics are noisy labelling functions, each speaking for one text type. The
-vote patterns of all cues are counted, expectation-maximisation on those counts learns how often every
-function fires under every type (its accuracy) and the share of the types, and the posterior of a cue's
-pattern is its text type. There are at most 2 ** len(RULES) patterns, so only a bounded table of counts
-leaves the executors; applying the posteriors is a lookup without a shuffle.
+Method: thresholds on statistics of a cue and of its whole document (word count, mean word length, symbol ratio,
+ended lines, common words, and the shapes of lines) are noisy labelling functions, each speaking for one text type.
+They overlap and contradict each other. The vote patterns of all cues are counted, and expectation-maximisation on those counts
+learns how often every function fires under every type and the share of the types: a function that fires without the
+company its type keeps loses its say. The posterior of a cue's pattern gives its text type. Only the table of
+distinct patterns leaves the executors.
 """
 
 from __future__ import annotations
@@ -39,7 +40,15 @@ RULES = {
     "unpronounceable": "junk",
     "drawing": "junk",
     "karaoke": "junk",
+    "document_ended": "speech",
+    "document_common": "speech",
+    "document_symbols": "junk",
+    "document_long_words": "junk",
+    "document_few_words": "table",
 }
+CUE_RULES = [n for n in RULES if not n.startswith("document_")]
+MOST_PATTERNS = 1 << 16
+PRIOR = 20.0  # cues that the start of the learning counts for
 STATS = "doc_id long, n_cues long, n_lines long, n_words long, word_chars long, n_common long, n_symbols long, n_chars long, n_ended long, codes array<int>"
 
 _TAGS = re.compile(r"</?[A-Za-z][^<>\n]*>|\{\\[^{}\n]*\}")
@@ -134,14 +143,12 @@ def votes(lines: list[str], raw: str, by_line: list[int], words: list[str], comm
     strange = odd and odd >= 0.5 * letters and known <= 0.2 * letters
     names = len(words) >= 2 and not ended and letters >= 0.6 * n and all(w[0].isupper() and (w[1:].islower() or len(w) == 1) for w in words)
     strokes = letters < 0.7 * n and n >= 4 and _STROKES.match(text) is not None
-    # The speech functions abstain where the cue has a form of its own.
     code = len(words) <= 30 and max(map(len, text.split())) >= 16 and _CODE.search(text) is not None
-    free = not (items or gaps or dots or parts or fields or karaoke or strange or names or strokes or code or foreign >= 0.15 * n)
     fired = (
-        free and ended and letters >= 0.6 * n,
-        free and known >= 0.25 * n and len(common) >= 2,
-        free and longest >= 4 and letters >= 0.7 * n,
-        free and letters >= 0.9 * n,
+        ended and letters >= 0.6 * n,
+        known >= 0.25 * n and len(common) >= 2,
+        longest >= 4 and letters >= 0.7 * n,
+        letters >= 0.9 * n,
         sound,
         _DOT_WORD.search(text) and _NOTICE.search(text) or _CREDIT.match(text),
         items,
@@ -161,6 +168,18 @@ def votes(lines: list[str], raw: str, by_line: list[int], words: list[str], comm
     return sum(1 << i for i, x in enumerate(fired) if x)
 
 
+def document_votes(n_lines: int, n_words: int, word_chars: int, n_common: int, n_symbols: int, n_chars: int, n_ended: int) -> int:
+    """Bits of the labelling functions on the statistics of a whole document, which count for each of its cues."""
+    fired = (
+        n_ended >= 0.5 * n_lines,  # true of a document without lines, which has no cues to vote for
+        n_common >= 0.25 * n_words > 0,
+        n_symbols >= 0.2 * n_chars > 0,
+        word_chars >= 9 * n_words > 0,
+        n_words < n_lines,
+    )
+    return sum(1 << (len(CUE_RULES) + i) for i, x in enumerate(fired) if x)
+
+
 def _measured(batches: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in STATS.split(", ")]
     for batch in batches:
@@ -184,6 +203,8 @@ def _measured(batches: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterat
                 n_symbols += symbols
                 n_chars += len(clean)
                 n_ended += sum(_END.search(x) is not None for x in lines)
+            fired = document_votes(n_lines, n_words, word_chars, n_common, n_symbols, n_chars, n_ended)
+            codes = [c | fired if c else 0 for c in codes]  # a cue without text has no votes
             rows.append((doc, len(codes), n_lines, n_words, word_chars, n_common, n_symbols, n_chars, n_ended, codes))
         yield pd.DataFrame(rows, columns=names)
 
@@ -200,48 +221,67 @@ def measure(docs: DataFrame, doc_id: Column, text: Column, common_words: list[st
     return rows.mapInPandas(lambda it: _measured(it, known), STATS)
 
 
-def learn(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior of every type for every vote pattern, by expectation-maximisation on the counts.
+def learn(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of every type for every vote pattern, how often each function fires under each type, shares of the types).
 
-    A function that fires names its type with an accuracy of its own and every other type with equal
-    parts of the rest; one that does not fire says nothing. Each round re-estimates the accuracies from
-    the posteriors, so functions that agree with others gain weight. Accuracies have a weak prior of 0.8
-    and stay above one half. The shares of the types are not learned: a type that is rare in one corpus
-    would lose its only function to the prior. A pattern without a vote is speech.
+    Expectation-maximisation on the counts of the patterns. Under its type, each function fires or stays silent by a
+    chance of its own, so silence counts too. The start is what the functions are meant to say: half of the
+    cues of their type, few of the others. Each round re-estimates the chances and the shares from the
+    posteriors, with a weak prior on the start; a function never fires more often under another type than under
+    its own, which keeps the types what they are called. A pattern without a vote is speech.
     """
     bits = ((codes[:, None] >> np.arange(len(RULES))) & 1).astype(float)
     own = np.array([[float(t == kind) for kind in RULES.values()] for t in TYPES])
-    accuracy = np.full(len(RULES), 0.8)
-    share = np.array([0.5, *[0.5 / (len(TYPES) - 1)] * (len(TYPES) - 1)])
+    start = np.where(own > 0, 0.5, 0.03)
+    of_cue = own * [n in CUE_RULES for n in RULES]
+    forms = [TYPES.index("list"), TYPES.index("table")]
+    of_cue[forms] = of_cue[forms].max(axis=0)  # laid out in items or columns: a function for the one admits the other
+    possible = (bits @ of_cue.T > 0) | (np.array(TYPES) == "speech")
+    fires, share = start, np.array([0.5, *[0.5 / (len(TYPES) - 1)] * (len(TYPES) - 1)])
+    post = np.zeros((len(codes), len(TYPES)))
     for _ in range(rounds):
-        say = own * accuracy + (1 - own) * (1 - accuracy) / (len(TYPES) - 1)
-        log = np.log(share) + bits @ np.log(say).T
+        log = np.log(share) + bits @ np.log(fires).T + (1 - bits) @ np.log1p(-fires).T
+        log = np.where(possible, log, -np.inf)
         post = np.exp(log - log.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         mass = post * counts[:, None]
-        right = ((mass @ own) * bits).sum(axis=0)
-        accuracy = np.clip((right + 8) / ((bits * counts[:, None]).sum(axis=0) + 10), 0.55, 0.999)
-    return post
-
-
-def _hits(codes: list[int]) -> Column:
-    return F.size(F.filter("codes", lambda c: c.isin(codes))).cast("long") if codes else F.lit(0).cast("long")
+        total = mass.sum(axis=0)
+        fires = (mass.T @ bits + PRIOR * start) / (total[:, None] + PRIOR)
+        fires = np.clip(np.minimum(fires, (fires * own).sum(axis=0)), 1e-4, 1 - 1e-4)
+        share = (total + PRIOR) / (total.sum() + PRIOR * len(TYPES))
+    return post, fires, share
 
 
 def text_types(measured: DataFrame) -> DataFrame:
-    """``measured`` with the number of cues of every type: n_speech, n_notice (sounds, adverts), n_list, n_table, n_junk.
+    """doc_id, n_cues, for every type the number of its cues n_speech, n_notice (sounds, adverts), n_list, n_table, n_junk,
+    and the document's posterior p_speech... (the mean of its cues'; null without cues).
 
-    ``measured`` is read twice, so it should be a written table. One type per cue, the likeliest.
+    ``measured`` is read twice, so it should be a written table. A cue counts for its likeliest type. Patterns
+    are a small table that every task looks up; more than MOST_PATTERNS of them raise an error.
     """
-    patterns = measured.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy("code").limit(1 << len(RULES)).toPandas()
-    kind = np.zeros(1 << len(RULES), int)
-    if len(patterns):
-        codes = patterns["code"].to_numpy()
-        kind[codes] = learn(codes, patterns["count"].to_numpy(float)).argmax(axis=1)
-    out = measured
-    for t in range(1, len(TYPES)):
-        out = out.withColumn(f"n_{TYPES[t]}", _hits(np.flatnonzero(kind == t).tolist()))
-    return out.withColumn("n_speech", F.col("n_cues") - F.col("n_notice") - F.col("n_list") - F.col("n_table") - F.col("n_junk")).drop("codes")
+    spark = measured.sparkSession
+    cue = measured.select("doc_id", F.explode("codes").alias("code"))
+    patterns = cue.groupBy("code").count().orderBy("code").limit(MOST_PATTERNS + 1).toPandas()
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} vote patterns")
+    codes = patterns["code"].to_numpy(np.int64)
+    post = learn(codes, patterns["count"].to_numpy(float))[0] if len(codes) else np.zeros((0, len(TYPES)))
+    known = {int(c): p for c, p in zip(codes, post)}
+    names = ["doc_id", "n_cues", *(f"n_{t}" for t in TYPES), *(f"p_{t}" for t in TYPES)]
+
+    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, own in zip(batch["doc_id"], batch["codes"]):
+                if len(own):
+                    p = np.array([known[int(c)] for c in own])
+                    rows.append((doc, len(own), *np.bincount(p.argmax(axis=1), minlength=len(TYPES)).tolist(), *p.mean(axis=0).tolist()))
+                else:
+                    rows.append((doc, 0, *[0] * len(TYPES), *[None] * len(TYPES)))
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = ", ".join(["doc_id long", "n_cues long", *(f"n_{t} long" for t in TYPES), *(f"p_{t} double" for t in TYPES)])
+    return measured.select("doc_id", "codes").mapInPandas(typed, schema)
 
 
 def statistics(measured: DataFrame) -> DataFrame:

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscan.functions.normalize import norm_mode, norm_path, valid_score
 from twinscan.llm.components import connected_groups
-from twinscan.llm.handwritten import classify, fit_classifier
-from twinscan.llm.mixing import mix
+from twinscan.llm.handwritten import classify, fit_classifier, validation
+from twinscan.llm.mixing import mix, mixing_checks
 from twinscan.llm.neardup import expand_links, near_duplicate_groups, near_duplicates
-from twinscan.llm.packing import fill_report, pack
+from twinscan.llm.packing import fill_report, pack, packing_checks
 from twinscan.llm.passages import fuzzy_passages
 from twinscan.llm.prose import measure, statistics, text_types
 from twinscan.llm.spans import shared_passages, shared_ranges, shared_shares
-from twinscan.llm.syntax import invalid_files, invalid_rates, parse_verdicts
+from twinscan.llm.syntax import agreement, invalid_files, invalid_rates, parse_verdicts, reports
 from twinscan.llm.topn import top_n_per_group
 from twinscan.plans.scratch import cut
 from twinscan.sources.tables import table
 
+MOST_LIMITS = 10_000
+MOST_WORDS = 1_000_000
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "unit_pairs")
@@ -72,8 +75,11 @@ def _file_columns() -> tuple:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "project_files")
-    weights, _ = fit_classifier(files, *_file_columns())
-    return classify(files, *_file_columns(), weights).where("machine").select("file_id").distinct()
+    return classify(files, *_file_columns(), fit_classifier(files, *_file_columns())).where("machine").select("file_id").distinct()
+
+
+def p2_validation(spark: SparkSession, d: str) -> DataFrame:
+    return validation(table(spark, d, "project_files"), *_file_columns())
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,20 +90,42 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return invalid_rates(parse_verdicts(table(spark, d, "project_files"), *_file_columns()))
 
 
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "project_files")
+    return reports(files, F.col("file_id"), F.col("file_path"), F.col("run_id"), table(spark, d, "analyze_runs"), table(spark, d, "analyze_warnings"))
+
+
+def p5_reported(spark: SparkSession, d: str) -> DataFrame:
+    return _reported(spark, d)
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return agreement(parse_verdicts(table(spark, d, "project_files"), *_file_columns()), _reported(spark, d))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    limits = [(r["limit_name"], r["capacity_tokens"]) for r in table(spark, d, "pack_limits").orderBy("limit_name").limit(1000).collect()]
+    limits = [(r["limit_name"], r["capacity_tokens"]) for r in table(spark, d, "pack_limits").orderBy("limit_name").take(MOST_LIMITS + 1)]
+    if len(limits) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
     docs = table(spark, d, "documents")
     return pack(docs, F.col("doc_id"), F.col("text"), limits, locality=[F.lower(F.trim("series")), F.lower(F.trim("lang"))])
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return fill_report(p8_packed(spark, d))
+    return fill_report(cut(p8_packed(spark, d), "packed"))
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    return packing_checks(cut(p8_packed(spark, d), "packed"))
+
+
+def _source() -> Column:
+    return F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    name = F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))
-    targets = table(spark, d, "mix_targets").withColumn("source", name)
-    return mix(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), name, targets)
+    targets = table(spark, d, "mix_targets").withColumn("source", _source())
+    return mix(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), _source(), targets)
 
 
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -108,15 +136,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing_checks(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), _source(), *_mixed(spark, d))
+
+
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    # The word list is a fixed reference table of a few hundred rows.
-    words = [r["word"] for r in table(spark, d, "common_words").select("word").distinct().collect()]
+    rows = table(spark, d, "common_words").select("word").distinct().take(MOST_WORDS + 1)
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    words = [r["word"] for r in rows]
     return measure(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), words)
 
 
 def p10_types(spark: SparkSession, d: str) -> DataFrame:
-    typed = text_types(cut(_measured(spark, d), "cues"))
-    return typed.select("doc_id", "n_cues", "n_speech", "n_notice", "n_list", "n_table", "n_junk")
+    return text_types(cut(_measured(spark, d), "cues"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,5 +162,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 8) for c in ("mean_word_length", "symbol_ratio", "ended_share", "common_share")})
 
 
-_ALL = [p1_found, p2_found, p3_found, p5_found, p5_rates, p6_found, p6_passages, p6_shares, p7_found, p7_groups, p8_packed, p8_fill, p9_selection, p9_shares, p10_found, p10_types, p10_statistics]
+_ALL = [p1_found, p2_found, p2_validation, p3_found, p5_found, p5_rates, p5_reported, p5_agreement, p6_found, p6_passages, p6_shares, p7_found, p7_groups, p8_packed, p8_fill, p8_checks, p9_selection, p9_shares, p9_checks, p10_found, p10_types, p10_statistics]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinscan.plans.scratch import cut
+
 PASSAGE = "record_id long, other_id long, start_line long, end_line long, other_start long, other_end long, exact_lines long, score double, blocks array<struct<s:long,e:long>>"
 
 
@@ -45,11 +47,13 @@ def shared_passages(df: DataFrame, record_id: Column, text: Column, k: int = 12,
     """
     occ = seeds(df, record_id, text, k)
     shared = occ.groupBy("h", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    hits = occ.join(shared, ["h", "h2"]).distinct()
+    # Each seed has one row in ``shared``, and what follows is exchanged anew, so adaptive execution can split a seed that
+    # fills a task. Written: read twice below. Re-delivered rows repeat their seeds until they are grouped by pair.
+    hits = cut(occ.join(shared, ["h", "h2"]), "hits")
     anchors = hits.where("id = lo or id = hi").groupBy("h", "h2", F.col("id").alias("other")).agg(F.min("at").alias("other_at"))
     hits = hits.select("h", "h2", "id", "at", F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     matches = hits.join(anchors, ["h", "h2", "other"])
-    per_pair = matches.groupBy("id", "other").agg(F.sort_array(F.collect_list(F.struct("at", "other_at"))).alias("m"))  # at most one row per line of one record
+    per_pair = matches.groupBy("id", "other").agg(F.sort_array(F.collect_set(F.struct("at", "other_at"))).alias("m"))  # at most one row per line of one record
     per_pair = per_pair.select("id", "other", F.col("m.at").alias("a"), F.col("m.other_at").alias("b"))
     return per_pair.mapInPandas(lambda it: _chained(it, k, gap_cost), PASSAGE)
 

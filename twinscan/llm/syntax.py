@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinscan.functions.normalize import norm_path
 from twinscan.llm.lexer import language_of, problem
 
 VERDICT = "file_id long, repo string, language string, reason string"
@@ -45,7 +46,31 @@ def invalid_files(verdicts: DataFrame) -> DataFrame:
 
 
 def invalid_rates(verdicts: DataFrame) -> DataFrame:
-    """Per repository and language: n_files, n_invalid, rate; a file counts once however often delivered."""
+    """Per repository and language: n_files, n_invalid, rate; a file counts once however often delivered.
+
+    Files of no known language are counted, but not judged: n_invalid and rate are null.
+    """
     files = verdicts.groupBy("file_id", "repo", "language").agg(F.max(F.col("reason").isNotNull().cast("int")).alias("bad"))
-    out = files.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bad").alias("n_invalid"))
+    out = files.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.when(F.col("language").isNotNull(), F.col("bad"))).alias("n_invalid"))
     return out.withColumn("rate", F.col("n_invalid") / F.col("n_files"))
+
+
+def reports(df: DataFrame, file_id: Column, path: Column, run: Column, runs: DataFrame, warnings: DataFrame) -> DataFrame:
+    """For every file whether its run named it: file_id, skipped, warned.
+
+    ``runs``(run_id, skipped_files array) and ``warnings``(run_id, file_path, message) name files by path; only messages
+    about parsing count. Paths are compared with slashes, without blanks around and without a leading ``./``.
+    Entries for files that do not exist have no effect; a null path names nothing.
+    """
+    files = df.select(file_id.cast("long").alias("file_id"), norm_path(path.cast("string")).alias("p"), run.cast("long").alias("run_id")).where("file_id is not null").distinct()
+    named = runs.select("run_id", F.explode("skipped_files").alias("p"))
+    about = warnings.where(F.col("message").rlike("(?i)parse|syntax")).select("run_id", F.col("file_path").alias("p"))
+    named, about = (x.select(F.col("run_id").cast("long").alias("run_id"), norm_path(F.trim("p")).alias("p")).where("p is not null").distinct().withColumn(n, F.lit(True)) for x, n in ((named, "skipped"), (about, "warned")))
+    out = files.join(named, ["run_id", "p"], "left").join(about, ["run_id", "p"], "left")
+    return out.groupBy("file_id").agg(F.coalesce(F.max("skipped"), F.lit(False)).alias("skipped"), F.coalesce(F.max("warned"), F.lit(False)).alias("warned"))
+
+
+def agreement(verdicts: DataFrame, reported: DataFrame) -> DataFrame:
+    """Files by verdict and report: invalid, skipped, warned, n_files."""
+    judged = verdicts.groupBy("file_id").agg(F.max(F.col("reason").isNotNull()).alias("invalid"))
+    return judged.join(reported, "file_id").groupBy("invalid", "skipped", "warned").agg(F.count(F.lit(1)).alias("n_files"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT = 20_000
+PIECES = 4  # a group is hot from this part of a task's even share on
 
 
 def top_n_per_group(
@@ -14,18 +14,18 @@ def top_n_per_group(
     score: Column,
     tie: Column,
     n: int = 5,
-    hot_rows: int = 200_000,
-    rows_per_salt: int = 100_000,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """The ``n`` rows of highest ``score`` in every group, equal scores in order of ``tie``.
 
-    Method: exact group counts split the groups. A group above ``hot_rows`` rows is hot: its rows get a
-    salt from ``tie`` and are range-partitioned by group and salt, so that the group spreads over as many
-    sorted ranges as its count needs; each range keeps its first ``n`` and one small window merges those.
-    All other groups go through one ordinary window. The two results are united.
+    Method: exact group counts split the groups. A group with more than ``hot_rows`` rows is hot: its rows get a
+    salt from ``tie``, one for every ``hot_rows`` rows, and are range-partitioned by group and salt, so that the
+    group spreads over as many sorted ranges as its count needs; each range keeps its first ``n`` and one small
+    window merges those. All other groups go through one ordinary window. The two results are united.
 
-    The hot list is broadcast: a group is hot only above max(hot_rows, rows / MAX_HOT), so it can never
-    hold more than MAX_HOT keys, whatever the data.
+    By default ``hot_rows`` is a quarter of a task's even share: rows / (PIECES * shuffle partitions). It follows the
+    input, so the split behaves alike at every size, and at most PIECES * partitions groups can be hot: the hot list
+    is broadcast. A given ``hot_rows`` is raised to rows / 20,000 where it would break such a bound.
 
     Defined results: rows with a null group column, null or NaN score or null tie take no part; repeated
     rows (same group, score and tie) count once, which is why the windows rank densely; a group with
@@ -42,7 +42,9 @@ def top_n_per_group(
 
     counts = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot = counts.where((F.col("__n") > hot_rows) & (F.col("__n") > total / F.lit(MAX_HOT))).withColumn("__salts", F.ceil(F.col("__n") / rows_per_salt).cast("int")).drop("__n")
+    parts = PIECES * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = total / F.lit(parts) if hot_rows is None else F.greatest(F.lit(float(hot_rows)), total / F.lit(20_000))
+    hot = counts.withColumn("__limit", F.greatest(F.lit(1.0), limit)).where(F.col("__n") > F.col("__limit")).withColumn("__salts", F.ceil(F.col("__n") / F.col("__limit")).cast("int")).select(*g, "__salts")
     tagged = rows.join(F.broadcast(hot), g, "left")
 
     order = (F.col("__score").desc(), F.col("__tie").asc())
