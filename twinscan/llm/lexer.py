@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from twinscan.llm.lexers import json_problem, python_problem
+
 # Words of the ECMAScript and TypeScript grammars.
 # Words after which an operand (or a declaration) follows.
 _BEFORE_OPERAND = set("await case delete do else extends implements in instanceof new of return throw typeof void yield as is keyof satisfies unique asserts infer default".split())
@@ -59,7 +61,7 @@ _EXPORTS = set("default const let var function class async interface type enum d
 _LAST = (_RESERVED | {"await", "let", "interface", "enum"}) - {"break", "continue", "debugger", "return"}
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 
-LANGUAGES = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx"}
+LANGUAGES = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "json": "json", "py": "python"}
 
 
 def language_of(path: str | None) -> str | None:
@@ -70,6 +72,8 @@ def language_of(path: str | None) -> str | None:
 
 def problem(text: str, language: str) -> str | None:
     """The first reason why ``text`` cannot be a program in ``language``, or None."""
+    if language in ("json", "python"):
+        return (json_problem if language == "json" else python_problem)(text)
     typed, tags = language in ("typescript", "tsx"), language in ("tsx", "jsx")
     pos, end = 0, len(text)
     if text[:1] == "\ufeff":
