@@ -85,7 +85,7 @@ def test_names_agree_between_columns_and_python(spark):
     rows = [(a, b) for a in words for b in words]
     df = spark.createDataFrame(rows, "a string, b string")
     a, b = F.col("a"), F.col("b")
-    for r in df.select("a", "b", S.property_name_likeness(a, b).alias("p"), S.name_likeness(a, b).alias("n"), S.token_overlap(a, b).alias("t")).collect():
+    for r in df.select("a", "b", S.property_name_likeness(a, b).alias("p"), S.name_likeness(a, b).alias("n"), S.scalar(overlap_of_words)(a, b).alias("t")).collect():
         assert r["p"] == pytest.approx(property_likeness(r["a"], r["b"])) and r["n"] == pytest.approx(plain_likeness(r["a"], r["b"])) and r["t"] == pytest.approx(overlap_of_words(r["a"], r["b"]))
     assert levenshtein("kitten", "sitting") == 3
 
@@ -268,3 +268,16 @@ def test_salted_join_is_a_join(spark):
     for how in ("inner", "left"):
         want = sorted((tuple(r) for r in a.join(b, "k", how).collect()), key=str)
         assert sorted((tuple(r) for r in salted_join(a, b, ["k"], how, rows_per_salt=7).select("k", "x", "y").collect()), key=str) == want
+
+
+def test_names_meet_by_rare_letters_and_none_is_lost(spark):
+    from twinscan.operators.pairs import edit_pairs
+
+    rng = random.Random(14)
+    stems = ["userName", "orderLine", "aaaa", "total", "x", "naïveÜ"]
+    names = sorted({"".join(c for c in rng.choice(stems) if rng.random() < 0.9) + rng.choice(["", "s", "Id", "aa"]) for _ in range(60)} - {""})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for least in (0.4, 0.75, 0.9, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(names, 2) if plain_likeness(a, b) >= least}
+        got = {(r["l"]["name"], r["r"]["name"]) for r in edit_pairs(df, "name", least).collect()}
+        assert want <= got

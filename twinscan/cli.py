@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--overlap-size-tolerance", type=_number, default=0.2)
     p.add_argument("--format", choices=("pretty", "json"), default="pretty")
     p.add_argument("--output")
+    p.add_argument("--pairs", help="write all pairs as a Parquet table to this folder and report their number only; for results of any size")
     p.add_argument("--fail-on-warnings", action="store_true")
     p.add_argument("--fail-on-duplicates", action="store_true")
     return p
@@ -71,12 +72,16 @@ def main(args: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(args)
     try:
         options = options_of(a)
-        from twinscan.report import analyze_project, as_json, as_text, write_text
+        from twinscan.report import analyze_project, as_json, as_text, write_project, write_text
 
         if spark is None:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("twinscan").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        if a.pairs:
+            report = write_project(spark, a.paths, a.pairs, a.cwd, options)
+            print(f"Files analyzed: {report['stats']['fileCount']}\nSimilar pairs: {report['stats']['pairCount']}")
+            return exit_code(report, a.fail_on_warnings, a.fail_on_duplicates)
         report = analyze_project(spark, a.paths, a.cwd, options)
         text = as_json(report) + "\n" if a.format == "json" else as_text(report, options.modes)
         if a.output:

@@ -1,7 +1,8 @@
 """Queries of the core library over the driver's tables, each with the SQL that must give the same rows.
 
 The first part runs single operators on plain tables, where SQL can say the same. The second runs whole modes on
-source files and unit tables; SQL cannot express those, so tests hold them against brute force.
+source files and unit tables; SQL cannot express those. Tests hold functions, types, classes and overlaps against nested
+loops over all pairs, and the labelled corpus holds all but overlaps against its labels.
 """
 
 from __future__ import annotations
@@ -9,15 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscan.engine import analyze
+from twinscan import corpus
+from twinscan.engine import Analysis, analyze
 from twinscan.functions import likeness as S
 from twinscan.functions.normalize import norm_path, valid_score
+from twinscan.functions.type_text import overlap_of_words, type_likeness
 from twinscan.operators.classes_mode import similar_classes
 from twinscan.operators.extract import extract_units
 from twinscan.operators.heavy_keys import heavy_keys, key_summaries
-from twinscan.operators.pairs import band_pairs, exact_classes, overlap_pairs, scope_condition, subset_pairs, without_contained
+from twinscan.operators.overlap_mode import code_segment, multiplicity
+from twinscan.operators.pairs import band_pairs, edit_pairs, exact_classes, overlap_pairs, scope_condition, subset_pairs, without_contained
 from twinscan.operators.types_mode import similar_types
 from twinscan.options import Options
+from twinscan.plans.scratch import cut
 from twinscan.sources.tables import table
 
 FLAGSHIP = "files_similar_functions"
@@ -40,14 +45,12 @@ def p4_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "type_units").select("name").where("name is not null and name <> ''").distinct()
-    return names.select(F.col("name").alias("uid"), "name", F.char_length("name").alias("n"))
+    return table(spark, d, "type_units").select("name").where("name is not null and name <> ''").distinct()
 
 
 def name_likeness_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = S.name_likeness(F.col("l.name"), F.col("r.name"))
-    pairs = band_pairs(_names(spark, d), "uid", "n", 0.75, s >= 0.75)
-    return pairs.select(F.col("l.name").alias("l"), F.col("r.name").alias("r"), F.round(s, 6).alias("score"))
+    return edit_pairs(_names(spark, d), "name", 0.75).where(s >= 0.75).select(F.col("l.name").alias("l"), F.col("r.name").alias("r"), F.round(s, 6).alias("score"))
 
 
 def property_name_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -104,30 +107,33 @@ def atom_cap_scores(spark: SparkSession, d: str) -> DataFrame:
     return l.select("l_orderkey", "l_linenumber", F.round(s, 6).alias("score"))
 
 
+def _scored(spark: SparkSession, pairs: DataFrame, f) -> DataFrame:
+    """``pairs``(unit_id, l, r, a, b) with the scalar likeness of the texts a and b, each distinct pair scored once."""
+    pairs = cut(pairs, "texts")
+    known = pairs.select("a", "b").distinct().withColumn("score", F.round(S.scalar(f)(F.col("a"), F.col("b")), 6))
+    return pairs.join(known, ["a", "b"]).select("unit_id", "l", "r", "score")
+
+
 def signature_token_overlap(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "class_units").dropDuplicates(["unit_id"]).select("unit_id", F.posexplode("methods").alias("pos", "m"))
-    sig = F.concat_ws(",", "m.parameters", F.coalesce("m.return_type", F.lit("")))
-    rows = m.select("unit_id", "pos", F.col("m.name").alias("name"), sig.alias("sig"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.unit_id") == F.col("b.unit_id")) & (F.col("a.pos") < F.col("b.pos")))
-    return met.select(F.col("a.unit_id").alias("unit_id"), F.col("a.pos").alias("l"), F.col("b.pos").alias("r"), F.round(S.token_overlap(F.col("a.sig"), F.col("b.sig")), 6).alias("score"))
+    rows = m.select("unit_id", F.struct("pos", F.concat_ws(",", "m.parameters", F.coalesce("m.return_type", F.lit(""))).alias("sig")).alias("u"))
+    met = rows.withColumnRenamed("u", "x").join(rows.withColumnRenamed("u", "y"), "unit_id").where("x.pos < y.pos")
+    return _scored(spark, met.select("unit_id", F.col("x.pos").alias("l"), F.col("y.pos").alias("r"), F.col("x.sig").alias("a"), F.col("y.sig").alias("b")), overlap_of_words)
 
 
 def union_type_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The likeness of two annotations of a class of which one at least is a union."""
     u = table(spark, d, "class_units").dropDuplicates(["unit_id"]).select("unit_id", F.explode("properties").alias("p"))
-    members = F.array_distinct(F.split(F.col("p.type_annotation"), r" \| "))
-    rows = u.select("unit_id", F.col("p.name").alias("name"), members.alias("m")).distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.unit_id") == F.col("b.unit_id")) & (F.col("a.name") < F.col("b.name")))
-    return met.select(F.col("a.unit_id").alias("unit_id"), F.col("a.name").alias("l"), F.col("b.name").alias("r"), F.round(S.union_type_likeness(F.col("a.m"), F.col("b.m")), 6).alias("score"))
+    rows = u.select("unit_id", F.struct(F.col("p.name").alias("name"), F.col("p.type_annotation").alias("t")).alias("u")).distinct()
+    met = rows.withColumnRenamed("u", "x").join(rows.withColumnRenamed("u", "y"), "unit_id").where("x.name < y.name and (x.t like '% | %' or y.t like '% | %')")
+    return _scored(spark, met.select("unit_id", F.col("x.name").alias("l"), F.col("y.name").alias("r"), F.col("x.t").alias("a"), F.col("y.t").alias("b")), type_likeness)
 
 
 def _scoped(spark: SparkSession, d: str, scope: str) -> DataFrame:
     f = table(spark, d, "function_units").select("unit_id", "file_path", "name", "start_line", "end_line").dropDuplicates(["unit_id"]).where("name is not null")
-    a, b = f.alias("a"), f.alias("b")
-    met = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.unit_id") < F.col("b.unit_id")) & scope_condition(scope, F.col("a.file_path"), F.col("b.file_path")))
-    lines1, lines2 = S.line_count(F.col("a.start_line"), F.col("a.end_line")), S.line_count(F.col("b.start_line"), F.col("b.end_line"))
-    return met.where((lines1 >= 3) & (lines2 >= 3)).groupBy(F.col("a.name").alias("name")).agg(F.count(F.lit(1)).alias("n_pairs"), F.max(S.impact(lines1, lines2)).alias("max_impact"))
+    f = f.withColumn("n", S.line_count(F.col("start_line"), F.col("end_line"))).where("n >= 3")
+    met = band_pairs(f, "unit_id", "n", 0.0, scope_condition(scope, F.col("l.file_path"), F.col("r.file_path")), keys=["name"])
+    return met.groupBy(F.col("l.name").alias("name")).agg(F.count(F.lit(1)).alias("n_pairs"), F.max(S.impact(F.col("l.n"), F.col("r.n"))).alias("max_impact"))
 
 
 def scope_same_file(spark: SparkSession, d: str) -> DataFrame:
@@ -146,17 +152,31 @@ def contained_overlaps_dropped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subtree_hash_multiplicity(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as subtrees: file pairs of one repository by their number of distinct long lines in common."""
-    f = table(spark, d, "project_files").select("file_id", F.split("file_path", "/")[0].alias("repo"), "content").dropDuplicates(["file_id"])
-    lines = f.select("file_id", "repo", F.explode(F.split("content", "\n")).alias("line")).where(F.char_length("line") >= 60).select("file_id", "repo", F.md5("line").alias("h")).distinct()
-    a, b = lines.alias("a"), lines.alias("b")
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.repo") == F.col("b.repo")) & (F.col("a.file_id") < F.col("b.file_id")))
-    return met.groupBy(F.col("a.file_id").alias("l"), F.col("b.file_id").alias("r")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 3")
+    """Runs of three lines as parts of files: file pairs, across repositories, by the number of different runs they share."""
+    f = table(spark, d, "project_files").select("file_id", "content").where("content is not null").dropDuplicates(["file_id"])
+    lines = f.select("file_id", F.split("content", "\n", -1).alias("l")).where(F.size("l") >= 3)
+    runs = lines.select("file_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - 2), lambda i: F.md5(F.array_join(F.slice("l", i, 3), "\n")))).alias("hash"))
+    return multiplicity(runs, "hash", "file_id")
+
+
+def overlap_code_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The source lines that the overlap reports name, cut out of their files."""
+    o = table(spark, d, "partial_overlaps").select("overlap_id", F.col("source_file_id").alias("file_id"), F.col("source_lines.s").alias("s"), F.col("source_lines.e").alias("e")).where("s between 1 and e").distinct()
+    f = table(spark, d, "project_files").select("file_id", "content").where("content is not null").dropDuplicates(["file_id"])
+    return o.join(f, "file_id").select("overlap_id", F.md5(code_segment(F.col("content"), F.col("s"), F.col("e"))).alias("code"))
 
 
 def report_counts(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "unit_pairs").select("pair_id", F.lower(F.regexp_replace("mode", r"^[ \t]+|[ \t]+$", "")).alias("mode"), valid_score(F.col("score")).alias("score")).distinct()
-    return p.where("mode is not null and mode <> ''").groupBy("mode").agg(F.count(F.lit(1)).alias("pair_count"), F.count_if(F.col("score") >= 0.8).alias("above"), F.count_if(F.col("score").isNull()).alias("without_score"))
+    """The counts of a report over the tables: files that no parse warning names, and the distinct pairs reported."""
+    files = table(spark, d, "project_files").select(norm_path(F.col("file_path")).alias("file_path"))
+    failed = table(spark, d, "analyze_warnings").where("message like '%arse%'").select(norm_path(F.col("file_path")).alias("file_path"))
+    pairs = table(spark, d, "unit_pairs").select("pair_id").distinct()
+    return Analysis(Options(), files, files, pairs, failed.distinct()).counts()
+
+
+def corpus_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """The engine on the labelled corpus, which needs no table."""
+    return corpus.confusion(corpus.verdicts(spark))
 
 
 # Whole modes.
@@ -194,7 +214,7 @@ def _mode(mode: str):
 _ALL = [
     p4_found, p4_summaries, name_likeness_pairs, property_name_pairs, size_band_pairs, exact_text_classes, property_jaccard_pairs, parameter_subset_pairs,
     edit_likeness_scores, short_factor_scores, atom_cap_scores, signature_token_overlap, union_type_scores, scope_same_file, scope_cross_file,
-    contained_overlaps_dropped, subtree_hash_multiplicity, report_counts, type_units_similar, class_units_similar, files_units, *map(_mode, ("functions", "types", "classes", "overlap")),
+    contained_overlaps_dropped, subtree_hash_multiplicity, overlap_code_segments, report_counts, corpus_confusion, type_units_similar, class_units_similar, files_units, *map(_mode, ("functions", "types", "classes", "overlap")),
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -270,8 +290,8 @@ select a.unit_id, cast(a.pos as int) as l, cast(b.pos as int) as r, round(case w
 from t a join t b on a.unit_id = b.unit_id and a.pos < b.pos""",
     "union_type_scores": """
 with u as (select distinct unit_id, properties from class_units),
-p as (select distinct unit_id, p.name as name, list_distinct(string_split(p.type_annotation, ' | ')) as m from (select unit_id, unnest(properties) as p from u)),
-s as (select a.unit_id, a.name as l, b.name as r, 2 * len(list_intersect(a.m, b.m)) / (len(a.m) + len(b.m)) as d from p a join p b on a.unit_id = b.unit_id and a.name < b.name)
+p as (select distinct unit_id, p.name as name, p.type_annotation as t, list_distinct([trim(x) for x in string_split(p.type_annotation, '|')]) as m from (select unit_id, unnest(properties) as p from u)),
+s as (select a.unit_id, a.name as l, b.name as r, 2 * len(list_intersect(a.m, b.m)) / (len(a.m) + len(b.m)) as d from p a join p b on a.unit_id = b.unit_id and a.name < b.name where a.t like '% | %' or b.t like '% | %')
 select unit_id, l, r, round(case when d >= 1 then 1.0 else d * 0.6 end, 6) as score from s""",
     "scope_same_file": _SCOPED.format(op="="),
     "scope_cross_file": _SCOPED.format(op="<>"),
@@ -281,9 +301,16 @@ with o as (select distinct overlap_id, source_file_id as f, target_file_id as g,
 select a.overlap_id from o a where not exists (select 1 from o b where a.f is not distinct from b.f and a.g is not distinct from b.g and b.s1 <= a.s1 and a.e1 <= b.e1 and b.s2 <= a.s2 and a.e2 <= b.e2
   and (b.score > a.score or b.score = a.score and b.overlap_id < a.overlap_id))""",
     "subtree_hash_multiplicity": """
-with l as (select distinct file_id, repo, line from (select file_id, string_split(file_path, '/')[1] as repo, unnest(string_split(content, chr(10))) as line from (select distinct file_id, file_path, content from project_files)) where length(line) >= 60)
-select a.file_id as l, b.file_id as r, count(*) as shared from l a join l b on a.line = b.line and a.repo = b.repo and a.file_id < b.file_id group by 1, 2 having count(*) >= 3""",
-    "report_counts": f"""
-with p as (select distinct pair_id, lower(regexp_replace(mode, '^[ \\t]+|[ \\t]+$', '', 'g')) as mode, {SQL_SCORE} as score from unit_pairs)
-select mode, count(*) as pair_count, count(*) filter (score >= 0.8) as above, count(*) filter (score is null) as without_score from p where mode is not null and mode <> '' group by 1""",
+with f as (select distinct file_id, string_split(content, chr(10)) as l from project_files where content is not null),
+r as (select distinct file_id, md5(array_to_string(l[i : i + 2], chr(10))) as h from (select file_id, l, unnest(range(1, len(l) - 1)) as i from f))
+select a.file_id as l, b.file_id as r, count(*) as shared from r a join r b on a.h = b.h and a.file_id < b.file_id group by 1, 2""",
+    "overlap_code_segments": """
+with f as (select distinct file_id, case when content = '' then [] when ends_with(content, chr(10)) then string_split(content, chr(10))[:-2] else string_split(content, chr(10)) end as l from project_files where content is not null),
+o as (select distinct overlap_id, source_file_id as file_id, source_lines.s as s, source_lines.e as e from partial_overlaps where source_lines.s between 1 and source_lines.e)
+select overlap_id, case when s <= len(l) and e <= len(l) then md5(array_to_string([regexp_replace(x, chr(13) || '$', '') for x in l[s : e]], chr(10))) end as code from o join f using (file_id)""",
+    "report_counts": r"""
+with f as (select distinct regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') as p from project_files),
+w as (select distinct regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') as p from analyze_warnings where message like '%arse%')
+select (select count(*) from f where not exists (select 1 from w where w.p = f.p)) as file_count, (select count(distinct pair_id) from unit_pairs) as pair_count""",
+    "corpus_confusion": corpus.labels_sql(),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,30 +39,6 @@ def jaccard(a: Column, b: Column, empty: float = 0.5) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Dice index of two arrays without repeats; two empty arrays are equal."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).otherwise(2 * F.size(F.array_intersect(a, b)) / total)
-
-
-def union_type_likeness(a: Column, b: Column) -> Column:
-    """Likeness of two unions' member arrays: Dice, scaled by 0.6 unless the members agree."""
-    d = dice(a, b)
-    return F.when(d >= 1, 1.0).otherwise(d * 0.6)
-
-
-def alphabetic_tokens(c: Column) -> Column:
-    """Distinct runs of ASCII letters."""
-    return F.array_distinct(F.filter(F.split(c, "[^A-Za-z]+"), lambda x: x != ""))
-
-
-def token_overlap(a: Column, b: Column) -> Column:
-    """Jaccard index of the alphabetic tokens of two signatures; two without tokens are equal."""
-    x, y = alphabetic_tokens(a), alphabetic_tokens(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / both)
-
-
 def base_likeness(distance: Column, n1: Column, n2: Column) -> Column:
     """1 - distance over the larger size, not below 0; 1 for two empty trees."""
     most = F.greatest(n1, n2)
@@ -143,10 +122,14 @@ def weighted(structure: Column, naming: Column) -> Column:
     return 0.85 * structure + 0.15 * naming
 
 
-def agreement(fp1: Column, fp2: Column, static1: Column, static2: Column, kind1: Column, kind2: Column) -> Column:
-    """How far two matched methods agree beyond their signatures: bodies, static and kind."""
-    return (
-        F.when(fp1.isNotNull() & fp2.isNotNull() & (fp1 != fp2), 0.55).otherwise(1.0)
-        * F.when(static1 == static2, 1.0).otherwise(0.4)
-        * F.when(kind1 == kind2, 1.0).otherwise(0.5)
-    )
+def scalar(f: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+    """A scalar likeness of two texts (``type_text``) as a function of columns, in Arrow batches; null if either is null.
+
+    Made for distinct pairs: score those, then join the scores back.
+    """
+
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else float(f(x, y)) for x, y in zip(a, b)], dtype="float64")
+
+    return of

@@ -175,19 +175,19 @@ def similar_classes(units: DataFrame, threshold: float = 0.8, scope: str = "all"
     rows = units.select("uid", "file_path", F.coalesce("name", F.lit("")).alias("name"), "extends_name", F.coalesce("implements_names", F.array().cast("array<string>")).alias("implements_names"), "properties", "methods")
     # Normalised and packed once a class: a pair then moves two byte strings, and a task unpacks each class once a batch.
     packed = cut(rows.select("uid", "properties", "methods").mapInPandas(_packed, f"uid {id_type}, n_fields int, n_methods int, of_fields array<string>, of_methods array<string>, packed binary"), "classes")
-    sized = packed.select("uid", "n_fields", "n_methods").join(rows.select("uid", "file_path"), "uid").withColumn("n", F.col("n_fields") + F.col("n_methods"))
-    # Fields match fields and methods methods, two of credit for each match at most.
-    enough = 2 * (F.least("l.n_fields", "r.n_fields") + F.least("l.n_methods", "r.n_methods")) >= least * (F.col("l.n") + F.col("r.n")) - 1e-9
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x)).alias(c)
+    sized = packed.select("uid", "n_fields", "n_methods", hashed("of_fields"), hashed("of_methods")).join(rows.select("uid", "file_path"), "uid").withColumn("n", F.col("n_fields") + F.col("n_methods"))
+    # A field match shares its name or its type; so does a method match its name or signature, or it is worth 0.88 at
+    # most. Both are told by hashes where the bands meet, before a pair is moved.
+    few, most = F.least("l.n_fields", "r.n_fields"), F.least("l.n_methods", "r.n_methods")
+    sure = F.least(most, F.size(F.array_intersect("l.of_methods", "r.of_methods")))
+    bound = 2 * F.least(few, F.size(F.array_intersect("l.of_fields", "r.of_fields"))) + 2 * sure + 1.76 * (most - sure)
+    total = F.col("l.n") + F.col("r.n")
+    enough = (2 * (few + most) >= least * total - 1e-9) & (bound >= least * total - 1e-9)
     pairs = band_pairs(sized, "uid", "n", least / (2 - least), scope_condition(scope, F.col("l.file_path"), F.col("r.file_path")) & enough)
     pairs = spread(pairs.select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r")))
-    a, b = packed.select(F.col("uid").alias("l"), F.struct("*").alias("x")), packed.select(F.col("uid").alias("r"), F.struct("*").alias("y"))
-    met = pairs.join(a, "l").join(b, "r")
-    # A field match shares its name or its type; so does a method match its name or signature, or it is worth 0.88 at most.
-    few, most = F.least("x.n_fields", "y.n_fields"), F.least("x.n_methods", "y.n_methods")
-    sure = F.least(most, F.size(F.array_intersect("x.of_methods", "y.of_methods")))
-    bound = 2 * F.least(few, F.size(F.array_intersect("x.of_fields", "y.of_fields"))) + 2 * sure + 1.76 * (most - sure)
-    total = F.col("x.n_fields") + F.col("y.n_fields") + F.col("x.n_methods") + F.col("y.n_methods")
-    slim = met.where(bound >= least * total - 1e-9).select("l", "r", F.col("x.packed").alias("a"), F.col("y.packed").alias("b"))
+    a, b = packed.select(F.col("uid").alias("l"), F.col("packed").alias("a")), packed.select(F.col("uid").alias("r"), F.col("packed").alias("b"))
+    slim = pairs.join(a, "l").join(b, "r").select("l", "r", "a", "b")
     credit = slim.mapInPandas(lambda it: _credits(it, least), CREDIT.format(id=id_type))
     info = rows.select("uid", "name", "extends_name", "implements_names")
     out = credit.join(info.toDF("l", "lname", "lext", "limp"), "l").join(info.toDF("r", "rname", "rext", "rimp"), "r")

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 def distinct_rows(df: DataFrame, row_id: Column, keys: dict[str, Column], value: Column | None) -> DataFrame:
     """One row per record id: re-delivered rows, equal in id, keys and value, collapse.
 
-    The shuffle is keyed by the record id and all keys together, so it is even whatever the keys hold.
+    The one exchange is by record id, so it is even whatever the keys hold, and counts of ids reuse it.
     """
     cols = [row_id.alias("__id"), *(c.alias(f"__k{i}") for i, c in enumerate(keys.values()))]
     if value is not None:
         cols.append(value.alias("__v"))
-    return df.select(*cols).where(F.col("__id").isNotNull()).distinct()
+    return df.select(*cols).where(F.col("__id").isNotNull()).repartition("__id").distinct()
 
 
 def _stacked(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -50,9 +50,9 @@ def heavy_keys(df: DataFrame, row_id: Column, keys: dict[str, Column], share: fl
     """The key values found on at least ``share`` of the distinct record ids: key_field, key_value, n_rows, share.
 
     At most ``1 / share`` values per field can qualify. A record counts once for a key however often it
-    is delivered. The total is a scalar subquery over ids alone, one number, never a join.
+    is delivered. The total is a scalar subquery over the same exchange, one number, never a join.
     """
     rows = distinct_rows(df, row_id, keys, None)
-    total = df.select(row_id.alias("__id")).agg(F.count_distinct("__id").alias("n")).scalar()
+    total = rows.agg(F.count_distinct("__id").alias("n")).scalar()
     counts = _stacked(rows, keys).groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.withColumn("__total", total).where(F.col("n_rows") >= F.lit(share) * F.col("__total")).select("key_field", "key_value", "n_rows", (F.col("n_rows") / F.col("__total")).alias("share"))

@@ -101,6 +101,28 @@ def overlap_pairs(tokens: DataFrame, sizes: DataFrame, least_share: float, least
     return met.select(F.col("l.uid").alias("l"), F.col("r.uid").alias("r")).distinct()
 
 
+def edit_pairs(names: DataFrame, name: str, least: float) -> DataFrame:
+    """Pairs (l, r) of distinct ``names`` rows as structs, l.name < r.name, whose edit ratio over characters may reach ``least``.
+
+    One edit changes two of a padded name's pairs of neighbouring letters. Two names of at most m letters that differ
+    in (1 - least) * m edits therefore share m + 1 - 2 * edits of them, so each has a shared one among its rarest:
+    names meet by rare pairs of letters instead of by length. A residual checks the lengths; the caller checks the ratio.
+    """
+    whole = F.struct(*names.columns)
+    padded = F.concat(F.lit("\x01"), F.col(name), F.lit("\x01"))
+    n = F.char_length(F.col(name))
+    grams = names.select(whole.alias("u"), n.alias("n"), F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(padded, i, F.lit(2))).alias("g"))
+    numbered = F.transform(F.sequence(F.lit(1), F.size("g")), lambda i: F.concat(F.element_at("g", i), F.size(F.filter(F.slice("g", F.lit(1), i), lambda x: x == F.element_at("g", i))).cast("string")))
+    held = grams.select("u", "n", F.explode(numbered).alias("token"))
+    frequency = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    need = F.greatest(F.lit(1), 1 + F.ceil(F.col("n") * max(0.0, 2 * least - 1) - 1e-9))
+    place = F.row_number().over(Window.partitionBy(F.col(f"u.{name}")).orderBy("df", "token"))
+    prefix = cut(held.join(frequency, "token").withColumn("place", place).where(F.col("place") <= F.col("n") + 2 - need).select("token", "u"), "grams")
+    met = salted_join(prefix.withColumnRenamed("u", "l"), prefix.withColumnRenamed("u", "r"), ["token"])
+    a, b = F.char_length(F.col(f"l.{name}")), F.char_length(F.col(f"r.{name}"))
+    return met.where((F.col(f"l.{name}") < F.col(f"r.{name}")) & (F.least(a, b) >= least * F.greatest(a, b) - 1e-9)).select("l", "r").distinct()
+
+
 def exact_classes(units: DataFrame, uid: str, key: Column) -> DataFrame:
     """(uid, class_id): units of equal key get the smallest uid among them; a null key is its own class."""
     rows = units.select(F.col(uid).alias("uid"), F.xxhash64(key).alias("__h"), key.alias("__key"))

@@ -138,20 +138,21 @@ def _compared(shapes: DataFrame, info: DataFrame, threshold: float, allow_cross_
     id_type = info.schema["uid"].dataType.simpleString()
     least = max(0.0, (threshold - 0.15) / 0.85)
     other = (F.col("l.side") != F.col("r.side")) if sides else None
+    # Every match shares a token, so too few shared tokens cannot reach the structure; told by hashes where tokens meet.
+    enough = F.size(F.array_intersect("l.hashes", "r.hashes")) >= least * (F.col("l.n") + F.col("r.n")) / 4 - 1e-9
     held = shapes.select("uid", F.explode("tokens").alias("token"))
     # Of the 2 n name and type tokens of a unit at least the matched number is shared: half the share.
-    sizes = shapes.select("uid", (2 * F.size("names")).alias("n")).where("n > 0").join(info.select("uid", "side"), "uid")
+    hashes = F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")
+    sizes = shapes.select("uid", (2 * F.size("names")).alias("n"), hashes).where("n > 0").join(info.select("uid", "side"), "uid")
     # No more properties match than the smaller type has, so sizes differ less than shares of tokens would allow.
-    pairs = overlap_pairs(held, sizes, least / 2, least / (2 - least), other)
+    pairs = overlap_pairs(held, sizes, least / 2, least / (2 - least), enough & other if sides else enough)
     names = info.select("uid", "name", "side").join(shapes.select("uid", (F.size("names") == 0).alias("bare")), "uid")
     pairs = pairs.unionByName(_named_pairs(names.where("bare"), (threshold - 0.51) / 0.49, other))
     if least == 0:  # types that match in nothing, or of which one is bare, still score 0.15 of their names' likeness
         pairs = pairs.unionByName(_named_pairs(names, threshold / 0.15, other)).distinct()
 
     a, b = shapes.toDF("l", "ln", "lt", "lo", "lk"), shapes.toDF("r", "rn", "rt", "ro", "rk")
-    # Every match shares a token, so too few shared tokens cannot reach the structure; checked before Python scores.
-    enough = F.size(F.array_intersect("lk", "rk")) >= least * (F.size("ln") + F.size("rn")) / 2 - 1e-9
-    met = spread(pairs).join(a, "l").join(b, "r").where(enough).select("l", "r", "ln", "lt", "lo", "rn", "rt", "ro").mapInPandas(_scored, MATCH.format(id=id_type))
+    met = spread(pairs).join(a, "l").join(b, "r").select("l", "r", "ln", "lt", "lo", "rn", "rt", "ro").mapInPandas(_scored, MATCH.format(id=id_type))
     lines = F.struct("start_line", "end_line")
     side = shapes.select("uid", F.size("names").alias("p")).join(info, "uid").select("uid", "p", "file_path", "name", "kind", lines.alias("lines"))
     out = met.join(side.toDF("l", "p1", "lfile", "lname", "lkind", "llines"), "l").join(side.toDF("r", "p2", "rfile", "rname", "rkind", "rlines"), "r")

@@ -85,3 +85,14 @@ def write_text(text: str, path: str) -> None:
 def write_pairs(result: Analysis, path: str, format: str = "parquet") -> None:
     """All pairs as a table, partitioned by mode, without passing the driver."""
     result.pairs.drop("l", "r").write.partitionBy("mode").format(format).save(path)
+
+
+def write_project(spark: SparkSession, paths: list[str], path: str, cwd: str = ".", options: Options | None = None) -> dict:
+    """Discover, read and analyze a project and write its pairs to ``path``; warnings and counts only."""
+    options = options or Options()
+    found = discover(paths, cwd, options.extensions, options.exclude)
+    result = analyze(read_files(spark, found, cwd), options)
+    write_pairs(result, path)
+    pairs = spark.read.parquet(path).count()
+    files = result.counts().first()["file_count"]
+    return {"warnings": [{"filePath": p, "message": m} for p, m in found.warnings], "stats": {"fileCount": files, "pairCount": pairs}}
