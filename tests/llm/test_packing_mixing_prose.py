@@ -96,11 +96,11 @@ def test_the_edge_is_split_until_it_is_small(spark):
     assert _edges(df, []).count() == 0
 
 
-def test_quality_tells_sentences_from_junk(spark):
-    texts = ["1\n0:0 --> 0:1\nWhere is it?\nI am here.\n", "1\n0:0 --> 0:1\n{}#%^ 88\n", "", None, "12\n"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(quality(F.col("t"))).collect()]
-    assert got[0] > 0.9 and got[1] == 0.1 or got[1] < 0.4
-    assert got[2:] == [0.1, 0.1, 0.1]
+def test_quality_tells_sentences_from_junk():
+    cue = "1\r\n00:00:01,000 --> 00:00:02,000\r\n"
+    good, names, junk = quality(cue + "Where is it?\r\nI am here…\n"), quality(cue + "Ola Berg\nAnna Lind\n"), quality(cue + "{}#%^ 88 <>=\n")
+    assert good > 0.95 and 0.4 < names < 0.6 and junk < 0.3
+    assert quality("") == quality("12\n") == quality(cue) == 0.1
 
 
 def test_mixing_edges(spark):
@@ -132,7 +132,7 @@ def test_text_types(spark):
     rows = [(i, document(SPEECH * 5)) for i in range(20)] + [(100, document(LISTED * 3)), (101, document(TABLED * 3, False)), (102, document(JUNK * 2, vtt=True)), (103, document(["[soft music]", "Visit www.site.example today"] * 3)), (104, document(LISTED[:2] + SPEECH[:2])), (105, None), (106, ""), (107, "no cues at all")]
     types, stats = typed(spark, rows)
     assert types[0]["n_speech"] == types[0]["n_cues"] == 20 and types[0]["p_speech"] > 0.9 and types[105]["p_speech"] is None
-    assert all(abs(sum(r[f"p_{t}"] for t in TYPES) - 1) < 1e-9 for r in types.values() if r["n_cues"])
+    assert all(abs(sum(r[f"p_{t}"] for t in TYPES) - 1) < 1e-5 for r in types.values() if r["n_cues"])
     for d in (100, 101, 102):
         r = types[d]
         assert r["n_list"] + r["n_table"] + r["n_junk"] == r["n_cues"], r

@@ -10,6 +10,7 @@ that holds a third of all rows is never gathered in one task, however its keys a
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,20 +25,29 @@ EDGE_ROWS = 20_000  # rows of one source that are sorted in one task
 MOST_SOURCES = 10_000
 
 
-def _counted(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "tokens": [token_count(t, vocabulary) for t in batch["t"]], "weight": batch["weight"]}).astype({"tokens": "int64", "weight": "float64"})
+_LETTERS = bytes([32, *range(65, 91), *range(97, 123), *range(128, 256)])  # ASCII letters, blanks, all of any other character
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,:;!?'\"-")
+_LINE_END = re.compile(rb"([^\d\s])[ \t\r]*(?:\n|\Z)")
+_ENDS = frozenset(b".!?,:;-\"')]\xa6\x93\x94\xbb\x99\x9d")  # the last bytes of sentence and clause marks and closing quotes
+
 
+def quality(text: str) -> float:
+    """Quality weight of a document in 0.1..1: the share of its text lines that end in a mark of a sentence or clause, and the
+    share of letters among letters and unusual marks, half each. Timing lines and numbers end in digits and are no text lines."""
+    data = text.encode("utf-8", "surrogatepass")
+    ends = _LINE_END.findall(data)
+    if not ends:
+        return 0.1
+    letters = len(data) - len(data.translate(None, _LETTERS))
+    marks = len(data) - len(data.translate(None, _MARKS)) - data.count(b"-->")
+    ended = sum(e[0] in _ENDS for e in ends) / len(ends)
+    return min(1.0, max(0.1, (ended + letters / max(1, letters + marks)) / 2))
 
-def quality(text: Column) -> Column:
-    """Quality weight of a document in 0.1..1: the share of its text lines that end a sentence or clause, and the
-    share of letters and blanks in them, half each. Timing lines, numbers and empty lines are no text lines."""
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: ~x.rlike(r"^\s*\d*\s*$|-->"))
-    ended = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…,:;–-][\"'»”’)\]]*\s*$"))) / F.size(lines)
-    body = F.array_join(lines, "\n")
-    plain = F.char_length(F.regexp_replace(body, r"[^\p{L}\p{M}\s]+", "")) / F.char_length(body)
-    score = (F.coalesce(ended, F.lit(0.0)) + F.coalesce(plain, F.lit(0.0))) / 2
-    return F.when(F.size(lines) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.1), score))).otherwise(0.1)
+
+def _counted(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = {"id": batch["id"], "source": batch["source"], "tokens": [token_count(t, vocabulary) for t in batch["t"]], "weight": [quality(t) for t in batch["t"]]}
+        yield pd.DataFrame(out).astype({"tokens": "int64", "weight": "float64"})
 
 
 def budgets(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, int]:
@@ -100,7 +110,7 @@ def mix(
         raise ValueError(f"more than {MOST_SOURCES} target sources")
     goal = {x["s"]: (x["share"] or 0.0, x["r"] or 0) for x in wanted}
     spark = docs.sparkSession
-    rows = docs.select(doc_id.cast("long").alias("id"), source.alias("source"), text.alias("t"), quality(text).alias("weight")).where("id is not null and t is not null and source is not null")
+    rows = docs.select(doc_id.cast("long").alias("id"), source.alias("source"), text.alias("t")).where("id is not null and t is not null and source is not null")
     names = spark.createDataFrame([(s,) for s in goal], "source string")
     counted = rows.join(F.broadcast(names), "source", "left_semi").mapInPandas(lambda it: _counted(it, vocabulary), "id long, source string, tokens long, weight double").where("tokens > 0")
     counted = cut(counted.dropDuplicates(["id"]), "counted")
