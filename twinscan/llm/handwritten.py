@@ -141,7 +141,7 @@ def _sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rid, path, text, kind in zip(batch["id"], batch["path"], batch["text"], batch["kind"]):
             x = features(clean_path(path), text)
             at = np.flatnonzero(x).astype(np.uint16)
-            rows.append((rid, clean_path(path), kind, at.tobytes(), x[at].tobytes()))
+            rows.append((rid, clean_path(path), kind, at.tobytes(), x[at].astype(np.float16).tobytes()))
         yield pd.DataFrame(rows, columns=["id", "path", "kind", "at", "x"])
 
 
@@ -158,7 +158,7 @@ def _train(batches: Iterator[pd.DataFrame], validate: bool) -> Iterator[pd.DataF
         return
     x = np.zeros((len(rows), TEXT_BINS + PATH_BINS + 1), np.float32)
     for i, (at, v) in enumerate(zip(rows["at"], rows["x"])):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float32)
+        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float16)
     y = np.where(sure, 1, -1)
     w, figures = fit(x, y, held_out(list(rows["path"])))
     out = [(w.astype(np.float32).tobytes(), "repositories", figures["held_out"], figures["recall"], figures["precision"])]
