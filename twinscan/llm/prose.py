@@ -47,7 +47,7 @@ RULES = {
     "document_few_words": "table",
 }
 CUE_RULES = [n for n in RULES if not n.startswith("document_")]
-MOST_PATTERNS = 1 << 16
+MOST_PATTERNS = 1 << 20
 PRIOR = 20.0  # cues that the start of the learning counts for
 STATS = "doc_id long, n_cues long, n_lines long, n_words long, word_chars long, n_common long, n_symbols long, n_chars long, n_ended long, codes array<int>"
 
@@ -266,7 +266,7 @@ def text_types(measured: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MOST_PATTERNS} vote patterns")
     codes = patterns["code"].to_numpy(np.int64)
     post = learn(codes, patterns["count"].to_numpy(float))[0] if len(codes) else np.zeros((0, len(TYPES)))
-    known = {int(c): p for c, p in zip(codes, post)}
+    post = post.astype(np.float32)  # in the order of the codes, which are sorted
     names = ["doc_id", "n_cues", *(f"n_{t}" for t in TYPES), *(f"p_{t}" for t in TYPES)]
 
     def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,8 +274,8 @@ def text_types(measured: DataFrame) -> DataFrame:
             rows = []
             for doc, own in zip(batch["doc_id"], batch["codes"]):
                 if len(own):
-                    p = np.array([known[int(c)] for c in own])
-                    rows.append((doc, len(own), *np.bincount(p.argmax(axis=1), minlength=len(TYPES)).tolist(), *p.mean(axis=0).tolist()))
+                    p = post[np.searchsorted(codes, own)]
+                    rows.append((doc, len(own), *np.bincount(p.argmax(axis=1), minlength=len(TYPES)).tolist(), *p.mean(axis=0, dtype=np.float64).tolist()))
                 else:
                     rows.append((doc, 0, *[0] * len(TYPES), *[None] * len(TYPES)))
             yield pd.DataFrame(rows, columns=names)
