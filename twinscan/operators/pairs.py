@@ -32,15 +32,14 @@ MOST_HOT = 10_000
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows_per_salt: int = 5_000) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``, with the keys that fill much of ``left`` split.
 
-    A key with more than max(rows_per_salt, rows / MOST_HOT) rows on the left is hot: its left rows get a salt from
-    their hash, its right rows are repeated for every salt, and each salt is a join key of its own. The hot list
-    is broadcast; by that bound it holds at most MOST_HOT keys whatever the data, and no key more than MOST_HOT
-    salts. ``left`` is read twice. ``how`` is inner or left.
+    A key with more than ``rows_per_salt`` rows on the left is hot: its left rows get a salt from their hash, its right
+    rows are repeated for every salt, and each salt is a join key of its own. The list of the MOST_HOT heaviest such
+    keys is broadcast; a key beyond them has less than 1 / MOST_HOT of all rows, and none has more than MOST_HOT
+    salts, so the list and the repeats are bounded whatever the data. ``left`` is read twice. ``how`` is inner or left.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = left.agg(F.count(F.lit(1)).alias("n")).scalar()
-    each = F.greatest(F.lit(float(rows_per_salt)), F.col("__total") / F.lit(float(MOST_HOT)))
-    hot = F.broadcast(counts.withColumn("__total", total).where(F.col("__n") > each).select(*keys, F.ceil(F.col("__n") / each).cast("int").alias("__salts")))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_salt)
+    most = F.least(F.ceil(F.col("__n") / rows_per_salt), F.lit(MOST_HOT)).cast("int").alias("__salts")
+    hot = F.broadcast(counts.orderBy(F.desc("__n"), *keys).limit(MOST_HOT).select(*keys, most))
     salts = F.coalesce("__salts", F.lit(1))
     a = left.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("__salts")
     b = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
