@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinscan.llm.passages import aligned, fuzzy_passages, matched_blocks
+from twinscan.llm.passages import Text, aligned, fuzzy_passages, matched_blocks
 from twinscan.llm.spans import chains
 
 
@@ -120,7 +120,7 @@ def test_blocks_in_pieces_and_alignment(monkeypatch):
     for _ in range(200):
         a, b = ([rng.randrange(3) for _ in range(rng.randrange(1, 14))] for _ in "ab")
         x, y = np.array(a, np.uint64), np.array(b, np.uint64)
-        assert matched_blocks(x, y, 2) == brute_blocks(a, b, 2)
+        assert matched_blocks(Text(x, 2), Text(y, 2), 2) == brute_blocks(a, b, 2)
         assert aligned(x, y) == common(a, b)
 
 

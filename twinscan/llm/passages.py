@@ -33,15 +33,26 @@ def _runs(lines: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
-def matched_blocks(a: np.ndarray, b: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """All maximal diagonal runs of equal lines, ``seed`` lines or longer, as (line of a, line of b, seeds)."""
-    if min(len(a), len(b)) < seed:
+class Text:
+    """The lines of a text as hashes, with its runs of ``seed`` lines, plain and sorted: made once for all its pairs."""
+
+    def __init__(self, lines: np.ndarray, seed: int):
+        self.lines = lines
+        self.runs = _runs(lines, seed) if len(lines) >= seed else np.zeros(0, np.uint64)
+        self.order = np.argsort(self.runs, kind="stable")
+        self.sorted = self.runs[self.order]
+
+
+def matched_blocks(p: Text, q: Text, seed: int, least: int = 1) -> list[tuple[int, int, int]]:
+    """All maximal diagonal runs of equal lines, ``seed`` lines or longer, as (line of p, line of q, seeds); none if
+    fewer than ``least`` runs of p occur in q."""
+    if not len(p.runs) or not len(q.runs):
+        return []
+    a, b, x, y, order = p.lines, q.lines, p.runs, q.sorted, q.order
+    low = np.searchsorted(y, x)
+    if (y[np.minimum(low, len(y) - 1)] == x).sum() < least:
         return []
-    x, y = _runs(a, seed), _runs(b, seed)
-    order = np.argsort(y, kind="stable")
-    y = y[order]
-    low, count = np.searchsorted(y, x), np.searchsorted(y, x, "right")
-    count -= low
+    count = np.searchsorted(y, x, "right") - low
     some = np.flatnonzero(count)
     total = np.cumsum(count[some])
     starts, ends, at = [], [], 0
@@ -78,9 +89,10 @@ def aligned(a: np.ndarray, b: np.ndarray) -> int:
     return int(best[-1])
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, k: int, seed: int, gap_cost: float) -> list[tuple]:
-    """Passages of two texts given as line hashes: the columns of ``PASSAGE`` from start_line on."""
-    blocks = matched_blocks(a, b, seed)
+def passages_of(p: Text, q: Text, k: int, seed: int, gap_cost: float) -> list[tuple]:
+    """Passages of two texts: the columns of ``PASSAGE`` from start_line on."""
+    blocks = matched_blocks(p, q, seed, -(-k // seed))  # k lines in blocks of seed lines or more hold that many seeds
+    a, b = p.lines, q.lines
     out = []
     for score, chain in chains(blocks, seed, gap_cost) if blocks else []:
         parts = [(blocks[i][0], blocks[i][1], blocks[i][2] + seed - 1) for i in chain]
@@ -97,10 +109,12 @@ def passages_of(a: np.ndarray, b: np.ndarray, k: int, seed: int, gap_cost: float
 def _between(batches: Iterator[pd.DataFrame], k: int, seed: int, gap_cost: float) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in PASSAGE.split(", ")]
     for batch in batches:
-        rows = []
-        for l, r, a, b in zip(batch["l"], batch["r"], batch["la"], batch["lb"]):
-            a, b = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
-            for s, e, t, f, *rest in passages_of(a, b, k, seed, gap_cost):
+        rows, known = [], {}
+        for l, r, *sides in zip(batch["l"], batch["r"], batch["la"], batch["lb"]):
+            for c, lines in zip((l, r), sides):
+                if c not in known:
+                    known[c] = Text(np.asarray(lines, np.int64).view(np.uint64), seed)
+            for s, e, t, f, *rest in passages_of(known[l], known[r], k, seed, gap_cost):
                 rows.append((l, r, s, e, t, f, *rest))
                 if l != r:
                     rows.append((r, l, t, f, s, e, *rest))

@@ -11,6 +11,7 @@ That keeps the matches linear in the occurrences and still proves for every seed
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +89,7 @@ def chains(blocks: list[tuple[int, int, int]], k: int, gap_cost: float) -> list[
                 tree[x] = max(tree[x], v)
                 x += x & -x
             done += 1
-        x, best = int(np.searchsorted(keys, b)), (float("-inf"), -1)
+        x, best = bisect_left(keys, b), (float("-inf"), -1)
         while x:
             best = max(best, tree[x])
             x -= x & -x
