@@ -261,6 +261,8 @@ def problem(text: str, language: str) -> str | None:
                     return "operator without an operand"
                 if operand and kind in ("{", "") and token != "=>":
                     return "operator without an operand"
+                if kind == "word" and word in ("const", "var") and token not in ("=>", ">="):
+                    return "operator without an operand"
                 kind, operand = ("=" if token == "=" else "=>" if token == "=>" else "op"), True
         elif group == 3:
             if not operand and kind not in (">", "}", "?") and not (kind == "word" and (word in _BEFORE_WORD or word in ("with", "assert", "require"))):
