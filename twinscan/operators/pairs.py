@@ -27,17 +27,23 @@ def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
 
 
 MOST_HOT = 10_000
+BUCKETS = 1 << 16
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows_per_salt: int = 5_000) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``, with the keys that fill much of ``left`` split.
 
     A key with more than ``rows_per_salt`` rows on the left is hot: its left rows get a salt from their hash, its right
-    rows are repeated for every salt, and each salt is a join key of its own. The list of the MOST_HOT heaviest such
-    keys is broadcast; a key beyond them has less than 1 / MOST_HOT of all rows, and none has more than MOST_HOT
-    salts, so the list and the repeats are bounded whatever the data. ``left`` is read twice. ``how`` is inner or left.
+    rows are repeated for every salt, and each salt is a join key of its own. Rows are first counted by BUCKETS hashes of
+    the keys, which shuffles next to nothing, and only keys in full buckets (more than ``rows_per_salt`` rows and twice
+    the mean) one by one. The list of the MOST_HOT heaviest is broadcast; what it leaves out has less than 2 / BUCKETS or
+    1 / MOST_HOT of all rows, and none has more than MOST_HOT salts, so the list and the repeats are bounded whatever
+    the data. ``left`` is read three times. ``how`` is inner or left.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_salt)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("__bucket")
+    full = left.groupBy(bucket).agg(F.count(F.lit(1)).alias("__c")).withColumn("__mean", F.sum("__c").over(Window.partitionBy()) / BUCKETS)  # at most BUCKETS rows
+    full = F.broadcast(full.where((F.col("__c") > rows_per_salt) & (F.col("__c") > 2 * F.col("__mean"))).select("__bucket"))
+    counts = left.select(*keys, bucket).join(full, "__bucket", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_salt)
     most = F.least(F.ceil(F.col("__n") / rows_per_salt), F.lit(MOST_HOT)).cast("int").alias("__salts")
     hot = F.broadcast(counts.orderBy(F.desc("__n"), *keys).limit(MOST_HOT).select(*keys, most))
     salts = F.coalesce("__salts", F.lit(1))
