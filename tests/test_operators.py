@@ -281,3 +281,29 @@ def test_names_meet_by_rare_letters_and_none_is_lost(spark):
         want = {(a, b) for a, b in itertools.combinations(names, 2) if plain_likeness(a, b) >= least}
         got = {(r["l"]["name"], r["r"]["name"]) for r in edit_pairs(df, "name", least).collect()}
         assert want <= got
+
+
+def test_names_meet_by_segments_and_none_is_lost(spark):
+    from twinscan.operators.pairs import close_names
+
+    rng = random.Random(23)
+    stems = ["userName", "orderLineTotal", "aaaa", "total", "x", "naïveÜberschrift", "数据库连接名", "configurationManagerFactoryBean" * 3]
+    letters = lambda stem: "".join(rng.choice("aeÜ数") if rng.random() < 0.06 else c for c in stem if rng.random() < 0.95)
+    names = sorted({letters(rng.choice(stems)) + rng.choice(["", "s", "Id", "  ", "aa"]) for _ in range(150)} | {"", " ", "Id", "id         ", "ID"})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+
+    def likeness(a, b):
+        x, y = a.lower().strip(" "), b.lower().strip(" ")
+        return 0.95 if x == y else 1 - levenshtein(x, y) / max(len(x.encode()), len(y.encode()))
+
+    for least in (0.8, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(names, 2) if likeness(a, b) >= least}
+        assert {tuple(r) for r in close_names(df, least).collect()} == want
+
+
+def test_property_names_that_differ_in_outer_blanks_are_found(spark, tmp_path):
+    from twinscan.driver_queries import property_name_pairs
+
+    schema = "properties array<struct<name:string>>"
+    spark.createDataFrame([([("id",), ("id      ",), (None,)],), (None,)], schema).write.parquet(str(tmp_path / "type_units.parquet"))
+    assert [tuple(r) for r in property_name_pairs(spark, str(tmp_path)).collect()] == [("id", "id      ", 0.95)]
