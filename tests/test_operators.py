@@ -307,3 +307,17 @@ def test_property_names_that_differ_in_outer_blanks_are_found(spark, tmp_path):
     schema = "properties array<struct<name:string>>"
     spark.createDataFrame([([("id",), ("id      ",), (None,)],), (None,)], schema).write.parquet(str(tmp_path / "type_units.parquet"))
     assert [tuple(r) for r in property_name_pairs(spark, str(tmp_path)).collect()] == [("id", "id      ", 0.95)]
+
+
+def test_units_share_keys_counted_without_moving_pairs(spark):
+    from twinscan.operators.overlap_mode import multiplicity
+
+    rng = random.Random(4)
+    rows = [(u, rng.choice("abcdefgh")) for u in range(40) for _ in range(4)] + [(u, "all") for u in range(40)] + [(None, "all"), (3, None), (99, "alone")]
+    held = {u: {k for v, k in rows if v == u and k is not None} for u, _ in rows if u is not None}
+    want = {(a, b, len(held[a] & held[b])) for a, b in itertools.combinations(sorted(held), 2) if held[a] & held[b]}
+    df = spark.createDataFrame(rows, "uid long, hash string")
+    assert all({tuple(r) for r in multiplicity(df, pairs_per_task=n).collect()} == want for n in (50, 500_000))
+    plan = multiplicity(df, pairs_per_task=50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # blocks of units move, their pairs are counted where they are made
+    assert multiplicity(df.limit(0)).count() == 0
