@@ -321,3 +321,43 @@ def test_units_share_keys_counted_without_moving_pairs(spark):
     plan = multiplicity(df, pairs_per_task=50)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # blocks of units move, their pairs are counted where they are made
     assert multiplicity(df.limit(0)).count() == 0
+
+
+def test_classes_without_a_common_name_meet_by_their_types(spark):
+    from twinscan.operators import classes_mode as C
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    types = ["string", "number", "Date", "User", "Map<string, User>"]
+    base = [[(word(), rng.choice(types), rng.random() < 0.2, False, False, False) for _ in range(n)] for n in (1, 2, 4, 7, 9) * 3]
+    method = lambda n, body: (n, ["a: string"], "void", False, False, False, False, "method", body)
+    rows = []
+    for i in range(120):
+        fields = [(n[:-1] + str(i % 10), *rest) for n, *rest in base[i % len(base)]][: rng.choice([2, 9, 9])]
+        methods = [method(word(), rng.choice([None, i])) for _ in range(rng.choice([0, 0, 1, 2]))]
+        rows.append((i, "f.ts", rng.choice(["UserStore", "UserStores", word()]), fields, methods))
+    schema = (
+        "uid long, file_path string, name string, "
+        "properties array<struct<name:string,type_annotation:string,is_static:boolean,is_private:boolean,is_readonly:boolean,is_optional:boolean>>, "
+        "methods array<struct<name:string,parameters:array<string>,return_type:string,is_static:boolean,is_private:boolean,is_async:boolean,is_generator:boolean,kind:string,body_fingerprint:long>>"
+    )
+    empty = {"extends_name": F.lit(None).cast("string"), "implements_names": F.array().cast("array<string>")}
+    units = [(r[0], r[2], C.fields([dict(zip(("name", "type_annotation", "is_static"), p)) for p in r[3]]), C.methods([dict(zip(("name", "parameters", "return_type", "is_static", "is_private", "is_async", "is_generator", "kind", "body_fingerprint"), m)) for m in r[4]])) for r in rows]
+    scores, strange = {}, set()
+    for (i, x, f, m), (j, y, g, n) in itertools.combinations(units, 2):
+        s = min(1.0, (C.field_credit(f, g) + C.method_credit(m, n)) / (len(f) + len(g) + len(m) + len(n)))
+        scores[i, j] = 0.85 * s + 0.15 * plain_likeness(x, y)
+        if not set(f) & set(g) and not set(m) & set(n):
+            strange.add((i, j))
+    df = spark.createDataFrame(rows, schema).withColumns(empty)
+    for threshold in (0.3, 0.8, 0.85):
+        want = {p: pytest.approx(s) for p, s in scores.items() if s >= threshold}
+        assert strange & want.keys()
+        assert {(r["l"], r["r"]): r["score"] for r in C.similar_classes(df, threshold).collect()} == want
+
+    # Many classes of one size that have nothing but hot types in common: few of all pairs may meet.
+    many = [(i, "f.ts", word(), [(word(), t, False, False, False, False) for t in rng.choices(types[:3], k=4)], [method(word(), i) for _ in range(2)]) for i in range(3000)]
+    packed = spark.createDataFrame(many, schema).mapInPandas(lambda it: C._packed(it), C.PACKED.format(id="bigint"))
+    hashed = [F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("of_fields", "of_methods", "held", "kinds")]
+    sized = packed.select("uid", "n_fields", "n_methods", "bare", *hashed, F.lit("f.ts").alias("file_path"), F.col("uid").cast("string").alias("name"))
+    assert C._candidates(sized, 0.8, (0.8 - 0.15) / 0.85, "all").count() < 3000 * 2999 / 2 / 20
