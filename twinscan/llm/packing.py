@@ -20,6 +20,7 @@ from twinscan.llm.tokens import VOCABULARY, token_count
 from twinscan.plans.scratch import cut
 
 SHARD = 4000  # documents of one index
+PER_DOCUMENT = 100  # what a document costs besides its words, in postings
 SIZED = "id long, place array<string>, n_tokens long, length int, terms binary, counts binary"
 PACKED = "limit_name string, capacity long, container_id string, doc_id long, part int, start_token long, n_tokens long, how string"
 
@@ -56,15 +57,47 @@ class Index:
         self.weight = weight[order] * np.repeat(idf, df)
         at = np.cumsum([0, *(len(t) for t in terms)])
         self.query = []  # for each document its words that another document has too
+        self.own = []  # and their weights
+        back = np.empty(len(term), np.float32)
+        back[order] = self.weight
         for i in range(self.n):
             own = number[at[i] : at[i + 1]]
-            self.query.append(own[df[own] > 1])
-
-    def scores(self, i: int) -> np.ndarray:
-        spans = [slice(self.first[t], self.last[t]) for t in self.query[i]]
-        if not spans:
+            shared = df[own] > 1
+            self.query.append(own[shared])
+            self.own.append(back[at[i] : at[i + 1]][shared])
+        self.held = np.array([len(q) for q in self.query], np.int64)
+        self.asked = np.zeros(len(df), bool)
+
+    def scores(self, i: int, open_: np.ndarray) -> np.ndarray:
+        """Scores of the documents ``open_`` (numbers in order) for the words of document ``i``; 0 for all others.
+
+        Read from the documents where those are short together, else from the postings. Either way a document's
+        weights are added in order of the words, so the sums are the same.
+        """
+        query = self.query[i]
+        if not len(query) or not len(open_):
             return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        postings = int((self.last[query] - self.first[query]).sum())
+        if int(self.held[open_].sum()) + PER_DOCUMENT * len(open_) < postings:
+            self.asked[query] = True
+            hit = self.asked[np.concatenate([self.query[d] for d in open_])]
+            self.asked[query] = False
+            return np.bincount(np.repeat(open_, self.held[open_])[hit], np.concatenate([self.own[d] for d in open_])[hit], self.n)
+        spans = [slice(self.first[t], self.last[t]) for t in query]
+        out = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        shut = np.ones(self.n, bool)
+        shut[open_] = False
+        out[shut] = 0
+        return out
+
+    def only(self, kept: np.ndarray) -> "Index":
+        """The index with the postings of the documents in the mask ``kept`` alone, at the weights they have."""
+        out = object.__new__(Index)
+        out.__dict__.update(self.__dict__)
+        at = kept[self.doc]
+        left = np.concatenate([[0], np.cumsum(at)])
+        out.doc, out.weight, out.first, out.last = self.doc[at], self.weight[at], left[self.first], left[self.last]
+        return out
 
 
 def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[tuple[list[int], int]]:
@@ -93,15 +126,16 @@ def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[tuple[list[int]
         used[i] = True
         below[place[i] + 1] = place[i]
 
-    out = []
+    out, indexed = [], n
     while (p := unused(n - 1)) >= 0:
         seed = int(by_size[p])
         take(seed)
         room, members, found = capacity - int(sizes[seed]), [seed], 1
         smallest = int(sorted_sizes[0])
         if room >= smallest:
-            open_ = ~used & (sizes <= room)
-            score = np.where(open_, index.scores(seed), 0) if open_.any() else np.zeros(n)
+            if 2 * (left := n - int(used.sum())) <= indexed:  # the postings of what is used are dropped at each halving
+                index, indexed = index.only(~used), left
+            score = index.scores(seed, np.flatnonzero(~used & (sizes <= room)))
             near = np.flatnonzero(score)
             near = near[np.lexsort((near, -score[near]))]
             fits = np.flatnonzero(sizes[near] <= room)
