@@ -121,3 +121,21 @@ def test_code_segments(spark):
 def test_multiplicity_counts_distinct_keys(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "b"), (None, "b")], "uid long, hash string")
     assert {tuple(r) for r in multiplicity(df).collect()} == {(1, 2, 2), (1, 3, 1), (2, 3, 1)}
+
+
+def test_overlap_alone_writes_no_trees_and_keeps_no_windows(spark):
+    from twinscan.engine import analyze
+    from twinscan.options import Options
+    from twinscan.plans.scratch import release_all, written
+
+    body = "\n".join(f"  const v{i} = load(a, {i}).map((x) => x + {i});" for i in range(6))
+    files = [(f"f{k}.ts", f"export function f{k}(a) {{\n{body}\n  return done{k}(a);\n}}\n") for k in range(3)]
+    before = written(spark)
+    found = analyze(spark.createDataFrame(files, "file_path string, content string"), Options(modes=("overlap",)))
+    assert found.pairs.count() > 0
+    names = {p.rsplit("/", 1)[1].split("-")[1] for p in written(spark) - before}
+    assert names == {"units", "matches", "found", "ranked"}
+    units = found.units.where("unit_kind = 'function'")
+    assert units.count() == 3 and units.where("fn.tree is not null or size(fn.value_atoms) > 0 or size(fn.statements) > 0").count() == 0
+    assert units.where("fn.subtrees is not null").count() == 3
+    release_all(spark, before)
