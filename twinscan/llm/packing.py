@@ -68,13 +68,13 @@ class Index:
         self.held = np.array([len(q) for q in self.query], np.int64)
         self.asked = np.zeros(len(df), bool)
 
-    def scores(self, i: int, open_: np.ndarray) -> np.ndarray:
-        """Scores of the documents ``open_`` (numbers in order) for the words of document ``i``; 0 for all others.
+    def scores(self, i: int, open_: np.ndarray | None = None) -> np.ndarray:
+        """Scores of the documents ``open_`` (numbers in order; all by default) for the words of document ``i``; 0 for all others.
 
         Read from the documents where those are short together, else from the postings. Either way a document's
         weights are added in order of the words, so the sums are the same.
         """
-        query = self.query[i]
+        query, open_ = self.query[i], np.arange(self.n) if open_ is None else open_
         if not len(query) or not len(open_):
             return np.zeros(self.n)
         postings = int((self.last[query] - self.first[query]).sum())
